@@ -68,6 +68,13 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_row", F.expr("CASE WHEN size(_spans) > 0 THEN xxhash64(_t) END").alias("_text_key"), F.expr(with_context).alias("spans"))
 
 
+def _reveals(texts: int, alpha: float) -> Column:
+    """Over n_et, n_e, n_t: whether the term's information about the entity is alpha of the entity's own."""
+    n = F.lit(float(max(texts, 1)))
+    content = -F.log(F.col("n_e") / n)
+    return (content > 0) & (F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) >= alpha * content)
+
+
 def _entity() -> Column:
     return F.expr("xxhash64(kind, CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '') ELSE lower(value) END)")
 
@@ -89,19 +96,20 @@ def personal_data(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> Data
     near = sides.select("_row", "_text_key", "_e", "_all", "at", F.explode("_found").alias("f")).select("_row", "_text_key", "_e", "_all", F.col("f.value").alias("term"), (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end"))
     near = materialize(near.where("NOT exists(_all, x -> x.start < end AND start < x.end)").drop("_all"), "near")
 
+    whole = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k")).distinct().count()
+    n_e = hits.select("_e", "_text_key").distinct().groupBy("_e").agg(F.count("*").alias("n_e"))
     together = near.select("_e", "term", "_text_key").distinct().groupBy("_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    together = materialize(together, "together")
+    # a term is in at least the texts that it was seen in near any entity: a bound that already rules out
+    # common words, so that few terms need a count over the whole corpus
+    at_least = near.select("term", "_text_key").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    together = materialize(together.join(n_e, "_e").join(at_least, "term").where(_reveals(whole, alpha)).drop("n_t"), "together")
     terms = together.select("term").distinct()
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).where("_t != ''")
-    whole = texts.select(F.xxhash64("_t").alias("_text_key")).distinct().count()
     seen = texts.select(F.xxhash64("_t").alias("_text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term", "left_semi")
     n_t = seen.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = hits.select("_e", "_text_key").distinct().groupBy("_e").agg(F.count("*").alias("n_e"))
-    pmi = F.log(F.col("n_et") * F.lit(float(max(whole, 1))) / (F.col("n_e") * F.col("n_t")))
-    content = -F.log(F.col("n_e") / F.lit(float(max(whole, 1))))
-    reveals = together.join(n_t, "term").join(n_e, "_e").where((content > 0) & (pmi >= alpha * content)).select("_e", "term")
+    reveals = together.join(n_t, "term").where(_reveals(whole, alpha)).select("_e", "term")
     marked = near.join(reveals, ["_e", "term"], "left_semi").select("_row", "start", "end").distinct().groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit("term").alias("kind"))).alias("_terms"))  # bounded by one text
     base = F.expr("transform(spans, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind))")
     out = found.withColumn("_base", base).join(marked, "_row", "left")
