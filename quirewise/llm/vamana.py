@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, c
     rows = materialize(usable(vectors, column).distinct(), "vectors")
     asked = rows.where(F.col("vec_id") % 100 == 0) if queries is None else usable(queries, column).distinct()
     index = build_index(rows, k + 1, shard)
-    shards = index.select("shard").distinct().count()
+    last = index.agg(F.max("shard")).first()[0] or 0
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def pack(pdf):
@@ -214,7 +214,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, c
         return pd.DataFrame(out, columns=["dim", "asked", "points"])
 
     packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, "dim int, asked binary, points binary")
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards * 2)))))
+    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
     work = index.join(sent, ["shard", "dim"])
 
     def search(batches):
