@@ -44,9 +44,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns, so that no other column can clash with what an operator adds."""
-    return df.select(*names)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that carry whole texts go to Python at most so many at a time (Spark's own default is 10,000), so
+    that a worker holds a few MB of them. Holds for the session from here on, as plans run later than this."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

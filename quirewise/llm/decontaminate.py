@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices, windows_of, words_of
+from .common import materialize, small_batches, text_slices, windows_of, words_of
 from .urlfilter import build_filter, probe
 
 #: Units of measure that follow a number.
@@ -99,6 +99,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     nothing; items with the same text each give a row; repeated rows of a document count as places of its
     id; null ids stay null; empty tables give no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     items = materialize(_windows(benchmark, "item_id").select(F.col("item_id"), F.col("_row").alias("_item"), F.col("n").alias("_n"), F.col("at").alias("_at"), "h", F.col("slots").alias("_want")), "items")
     blocks = docs.sparkSession.sparkContext.broadcast(build_filter(items.select(F.col("h").alias("key")).distinct(), hashed=True))
     hits = _windows(docs, "doc_id", blocks)

@@ -12,6 +12,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Exact phrases of the base labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Notices searched with errors: (words, label).
@@ -122,6 +124,7 @@ def license_notices(docs: DataFrame, notices=NOTICES, base=BASE, share: float =
     spans starting at one word under one label keep the fewest edits, and of overlapping spans of several
     labels the surest stays. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         scanner = Scanner(notices, base, share)

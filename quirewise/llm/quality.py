@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small_batches
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4)
@@ -130,6 +130,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     Null and empty texts get the bias's score; a null id is not held out; repeated rows stay; an empty
     table gives no rows; other columns are ignored. The model's size is fixed, so it is broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias))
 
     @F.pandas_udf("double")
@@ -145,6 +146,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the model accepts, with their own columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias))
 
     @F.pandas_udf("double")
