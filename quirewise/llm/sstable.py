@@ -16,9 +16,11 @@ A lookup reads the footer, asks the Bloom filter, finds the block by binary sear
 from __future__ import annotations
 
 import bisect
+import gc
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import scratch_dir, small_batches
 
 MAGIC = b"QWSST001"
 FOOTER = struct.Struct("<QQQQQQQI8s")
 BLOCK = 64
 SIGN = 1 << 63
-#: Entries of a worker's memo of encoded pieces.
+#: Entries of either of a worker's two memos of encoded pieces.
 MEMO = 400_000
-#: A space inside or at the end of a run of white space: only there, cutting before it could change tokens.
-_ODD_SPACE = re.compile(r"\s (?=\s|\Z)")
+_RUN = re.compile(r"\s\s")
+_STEM = re.compile(r"[^\W\d_]+")
+FIRST = "\0"
+_LINE = "\n" + FIRST
+_FIRST_LINE = FIRST + "\n"
+_POINTS = ".,;:!?)"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -155,11 +161,15 @@ class Reader:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file, memoizing the pieces between spaces.
+    """Encodes texts with a tokenizers file, memoizing the pieces between spaces and line ends.
 
-    The byte-level pre-tokenizer never joins a space to what stands before it, so a text may be cut
-    before each space, save where the space lies inside (or ends) a longer run of white space; such
-    texts are encoded whole. Strings of special tokens count as ordinary text.
+    The byte-level pre-tokenizer joins a space only to what follows it, and letters never to what is none.
+    In a text without two white-space characters in a row, cuts before each space, around each line end and
+    after a piece's leading letters therefore change no token; other texts are encoded whole. Strings of
+    special tokens count as ordinary text.
+
+    A piece's key tells what stands before it: ``FIRST`` nothing, a line end and ``FIRST`` a line end, else a
+    space.
     """
 
     def __init__(self, path: str):
@@ -167,34 +177,106 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # pieces that came again
+        self.young: dict[str, bytes] = {}  # pieces that came once of late
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        if len(self.young) > MEMO // 2:
+            self.older, self.young = self.young, {}
+        memo, young, seen, older = self.memo, self.young, self.young.get, self.older.get
+        found: dict[str, bytes] = {}
+        once = [x for x in pieces if x not in young]
+        for x in pieces.difference(once):  # twice now
+            memo[x] = found[x] = young[x]
+        # letters and what follows them are learned apart and put together
+        alone, made, parts = [], [], {_FIRST_LINE}
+        for x in once:
+            if x.isalpha():
+                alone.append(x)
+                continue
+            at = 2 if x[:2] == _LINE else 1 if x[:1] == FIRST else 0
+            stem = x.rstrip(_POINTS)
+            to = len(stem)
+            if at or not stem.isalpha():
+                m = _STEM.match(x, at)
+                to = m.end() if m and m[0].isalpha() else at
+            if to == len(x) or to == at:
+                body, tail = x[at - 1 :] if at == 2 else x, None
+            else:
+                body, tail = x[at - 1 : to] if at else x[:to], FIRST + x[to:]
+                parts.add(tail)
+            parts.add(body)
+            made.append((x, at, body, tail))
+        parts.update(alone)
+        known, fresh = {}, []
+        for key in parts:
+            ids = memo.get(key) or seen(key) or older(key)
+            if ids is None:
+                fresh.append(key)
+            else:
+                known[key] = memo[key] = ids
+        learned = dict(zip(fresh, self._whole([k[1:] if k[:1] == FIRST else " " + k for k in fresh])))
+        young.update(learned)
+        known.update(learned)
+        line = known[_FIRST_LINE]
+        for x in alone:
+            found[x] = known[x]
+        for x, at, body, tail in made:
+            ids = known[body] if tail is None else known[body] + known[tail]
+            found[x] = young[x] = line + ids if at == 2 else ids
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        memo, out, cut, whole = self.memo, [b""] * len(texts), {}, []
-        if len(memo) > MEMO:
-            memo.clear()
-        new: set[str] = set()
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short strings without cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out, open_, whole, new = [b""] * len(texts), [], [], set()
+        get = self.memo.get
         for i, text in enumerate(texts):
-            if _ODD_SPACE.search(text):
+            if FIRST in text or _RUN.search(text):
                 whole.append(i)
             elif text:
-                first, *rest = text.split(" ")
-                cut[i] = pieces = [first] * bool(first) + [" " + x for x in rest]
-                new.update(x for x in pieces if x not in memo)
-        if new:
-            fresh = list(new)
-            memo.update(zip(fresh, self._whole(fresh)))
-        for i, pieces in cut.items():
-            out[i] = b"".join([memo[x] for x in pieces])
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])) if whole else ():
+                pieces = (FIRST + text.replace("\n", " " + _LINE)).split(" ")
+                ids = list(map(get, pieces))
+                if None in ids:
+                    miss = [j for j, x in enumerate(ids) if x is None]
+                    new.update([pieces[j] for j in miss])
+                    open_.append((i, pieces, ids, miss))
+                else:
+                    out[i] = b"".join(ids)
+        found = self._learn(new)
+        for i, pieces, ids, miss in open_:
+            for j in miss:
+                ids[j] = found[pieces[j]]
+            out[i] = b"".join(ids)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker process: the next task goes on with what the last one learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:", "file://", 1))
 
@@ -205,6 +287,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _text_bytes(docs: DataFrame) -> int:
+    """About the bytes of text, from the size of the files that are read where Spark knows it, else counted."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 50:
+        return 2 * size  # files are compressed
+    return docs.select(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20, width: int = 2) -> list:
     """Encode ``docs`` (doc_id, text; null text is empty) and write shards in ascending doc_id order.
 
@@ -213,8 +303,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     in the returned manifest count, so a retried task leaves no wrong rows. Repeated ids keep all rows.
     Returns rows (part, seq, path, n_docs, n_tokens, min_id, max_id), one a file, in key order.
     """
-    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("b")).first()["b"] or 0
-    n = max(1, -(-size // (2 * shard_bytes)), min(12, size >> 18))
+    small_batches(docs.sparkSession, 2500)
+    n = max(1, -(-_text_bytes(docs) // (2 * shard_bytes)), docs.sparkSession.sparkContext.defaultParallelism)
 
     def write(batches):
         import os
@@ -223,13 +313,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         from pyspark import TaskContext
 
         context, seq, files = TaskContext.get(), 0, []
-        encoder, fs, base = Encoder(tokenizer_path(tokenizer)), *_filesystem(folder)
+        encode, fs, base = encoder(tokenizer_path(tokenizer)).encode, *_filesystem(folder)
         end, writer = np.array([end_id], "<u4").tobytes(), None
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for lo in range(0, len(ids), 1000):
-                texts = [x or "" for x in batch.column("text").slice(lo, 1000).to_pylist()]
-                for doc, raw in zip(ids[lo : lo + 1000], encoder.encode(texts)):
+            for lo in range(0, len(ids), 4000):
+                texts = [x or "" for x in batch.column("text").slice(lo, 4000).to_pylist()]
+                for doc, raw in zip(ids[lo : lo + 4000], encode(texts)):
                     if writer is None:
                         fs.create_dir(base, recursive=True)
                         name = f"part-{context.partitionId():06d}-{seq:04d}-{context.taskAttemptId()}.sst"
