@@ -52,6 +52,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict that tasks of one operator share in a worker process, until another operator's tasks come."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def drop_caches() -> None:
+    """Called by tasks that need their memory themselves: workers outlive the stages that filled the caches."""
+    for cache in _CACHES:
+        cache.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer."""
     x = x ^ (x >> np.uint64(30))

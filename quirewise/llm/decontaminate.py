@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_slices, windows_of, words_of
+from .common import drop_caches, materialize, small_batches, text_slices, windows_of, words_of
 from .urlfilter import build_filter, probe
 
 #: Units of measure that follow a number.
@@ -61,6 +61,7 @@ def _windows(table: DataFrame, key: str, blocks=None) -> DataFrame:
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
 
     def run(batches):
+        drop_caches()
         units = _unit_hashes()
         bloom = blocks.value if blocks is not None else None
         for batch in batches:

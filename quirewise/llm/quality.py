@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import drop_caches, mix64, small_batches
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4)
@@ -137,6 +137,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     def score(texts):
         import pandas as pd
 
+        drop_caches()
         m = Model(*shared.value)
         return pd.Series([m.score(t or "") for t in texts])
 
@@ -153,6 +154,7 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
     def score(texts):
         import pandas as pd
 
+        drop_caches()
         m = Model(*shared.value)
         return pd.Series([m.score(t or "") for t in texts])
 

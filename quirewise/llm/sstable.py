@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import gc
+import itertools
 import re
 import struct
 import zlib
@@ -28,14 +29,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches
+from .common import scratch_dir, small_batches, worker_cache
 
 MAGIC = b"QWSST001"
 FOOTER = struct.Struct("<QQQQQQQI8s")
 BLOCK = 64
 SIGN = 1 << 63
 #: Entries of either of a worker's two memos of encoded pieces.
-MEMO = 400_000
+MEMO = 360_000
 _RUN = re.compile(r"\s\s")
 _STEM = re.compile(r"[^\W\d_]+")
 FIRST = "\0"
@@ -185,8 +186,8 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if len(self.memo) > MEMO:  # what came again first is likely to be common
+            self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
         if len(self.young) > MEMO // 2:
             self.older, self.young = self.young, {}
         memo, young, seen, older = self.memo, self.young, self.young.get, self.older.get
@@ -267,7 +268,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = worker_cache()
 
 
 def encoder(path: str) -> Encoder:
@@ -303,7 +304,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     in the returned manifest count, so a retried task leaves no wrong rows. Repeated ids keep all rows.
     Returns rows (part, seq, path, n_docs, n_tokens, min_id, max_id), one a file, in key order.
     """
-    small_batches(docs.sparkSession, 2500)
+    small_batches(docs.sparkSession)
     n = max(1, -(-_text_bytes(docs) // (2 * shard_bytes)), docs.sparkSession.sparkContext.defaultParallelism)
 
     def write(batches):
