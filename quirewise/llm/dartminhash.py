@@ -7,9 +7,9 @@ to their weighted Jaccard similarity, sum of minima over sum of maxima. Only abo
 are thrown, however long it is.
 
 Bands of coordinates are joined by their hash. In a bucket, members are compared with its least member
-first (a star, not all pairs) and checked exactly; buckets where a check failed are searched in square
-tiles in which signatures decide what is checked, and only links that join two parts go out. Classes are
-connected components of the links, found by label propagation over the link table.
+first (a star, not all pairs) and checked exactly; buckets that still hold several parts are searched in
+square tiles in which signatures decide what is checked, and only links that join two parts go out. Classes
+are connected components of the links, found by label propagation over the link table.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_slices, windows_of, words_of
+from .common import drop_caches, materialize, mix64, small_batches, text_slices, windows_of, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -27,7 +27,9 @@ BANDS, ROWS = 36, 6
 K = BANDS * ROWS
 #: Pairs whose signatures agree on less than this share are not checked (0.8 is 4 standard errors away).
 SCREEN = 0.69
-TILE = 1024
+TILE = 512
+#: Up to so many names of candidates (8 bytes each) are broadcast to the sketches; more are shuffled.
+BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
@@ -117,36 +119,37 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+def units_of(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """32-bit names of each element's single units: similarity over them is weighted similarity over counts."""
+    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return (mix64(np.repeat(elements, counts) + copy.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    low = np.minimum(ca[i], cb[j]).sum()
-    return float(low / (len(a) + len(b) - low)) if len(a) + len(b) else 0.0
+    """Jaccard similarity of two sets of units."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep, sig, sets, bands) of each (doc_id, text): rep names the word sequence; sig has a byte a
-    coordinate, which is enough to screen; sets the sorted 32-bit shingles; bands their 64-bit hashes.
+    """(doc_id, key, rep, sig, sets, bands) of each (doc_id, key, text): rep names the word sequence; sig has a byte a
+    coordinate, which is enough to screen; sets the 32-bit units of the shingles; bands their 64-bit hashes.
 
-    All but rep are null for a text without words, which is named by its bytes."""
+    A text without words is named by its bytes and has no sets and bands."""
 
     def run(batches):
         import hashlib
 
+        drop_caches()
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("key")
             for lo, hi, data, offsets in text_slices(batch.column("text"), 1 << 20):
                 n = hi - lo
                 _, _, doc, hashes = words_of(data, offsets)
                 owner, element, count = shingles(doc, hashes, n)
                 sig = signatures(owner, element, count.astype(np.float64), n)
-                flat = (np.repeat(element, count) >> np.uint64(32)).astype(np.uint32)
-                who = np.repeat(owner, count)
-                order = np.lexsort((flat, who))
-                flat = flat[order]
-                edge = np.searchsorted(who, np.arange(n + 1))
+                flat, who = units_of(element, count), np.repeat(owner, count)
+                edge = np.searchsorted(who, np.arange(n + 1)).astype(np.int32)
                 first = np.searchsorted(doc, np.arange(n))
                 total = np.bincount(doc, minlength=n)
                 placed = mix64(hashes + (np.arange(len(doc)) - first[doc]).astype(np.uint64) * _GOLD)
@@ -159,25 +162,20 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 bands = bands_of(sig)
                 ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, n), pa.array(rep.view(np.int64)),
+                    ids.slice(lo, n), keys.slice(lo, n), pa.array(rep.view(np.int64)),
                     pa.array([None if e else x.tobytes() for x, e in zip(sig.astype(np.uint8), empty)], pa.binary()),
-                    pa.array([None if e else flat[a:b].tobytes() for a, b, e in zip(edge, edge[1:], empty)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(edge), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel().view(np.int64))),
-                ], names=["doc_id", "rep", "sig", "sets", "bands"])
+                ], names=["doc_id", "key", "rep", "sig", "sets", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, rep long, sig binary, sets binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, rep long, sig binary, sets array<int>, bands array<long>")
 
 
 def _star_check(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ok) for (a, b, sets_a, sets_b)."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("sets_a").to_pylist(), batch.column("sets_b").to_pylist()
-            ok = [similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= threshold for a, b in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    return pairs.select("a", "b", "sets_a", "sets_b").mapInArrow(run, "a long, b long, ok boolean")
+    """(a, b, ok) for (a, b, sets_a, sets_b), row by row in the JVM, so that long texts never make a big batch."""
+    both = F.size(F.array_intersect("sets_a", "sets_b"))
+    alike = both / (F.size("sets_a") + F.size("sets_b") - both)
+    return pairs.select("a", "b", (alike >= threshold).alias("ok"))
 
 
 class _Parts:
@@ -200,17 +198,15 @@ def _tile(threshold: float):
     def run(key, pdf):
         import pandas as pd
 
+        drop_caches()
         pdf = pdf.drop_duplicates("rep").reset_index(drop=True)
         rep, block = pdf["rep"].to_numpy(), pdf["block"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        sets = [np.frombuffer(x, np.uint32) for x in pdf["sets"]]
+        sets = [np.unique(x) for x in pdf["sets"]]
         parts, links = _Parts(len(pdf)), []
         star = {}
-        for i, leader in enumerate(pdf["linked"].to_numpy()):  # what the star joined already
-            if leader >= 0:
-                if leader in star:
-                    parts.join(parts.find(i), parts.find(star[leader]))
-                star.setdefault(leader, i)
+        for i, label in enumerate(pdf["linked"].to_numpy()):  # what the stars joined already
+            parts.join(parts.find(i), parts.find(star.setdefault(label, i)))
         left = np.flatnonzero(block == key[1])
         right = np.flatnonzero(block == key[2])
         for lo in range(0, len(left), 64):
@@ -253,13 +249,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Texts with the same word sequence (ASCII case and punctuation aside) are copies; texts are linked if
     the weighted Jaccard similarity of their 5-word shingles is at least ``threshold``; classes are
-    connected by links. ``class_id`` is the class's least doc_id, ``first`` marks the one row of the class
-    that stays. Texts without words are copies only if equal; null counts as empty. Null ids come after
-    others; repeated rows are copies; an empty table gives no rows; other columns are ignored.
+    connected by links. ``class_id`` is the class's least doc_id; ``first`` marks its rows of the text that
+    stays, which are one row unless that row is repeated. Texts without words are copies only if equal; null
+    counts as empty. Null ids come after others; repeated rows are copies; an empty table gives no rows; other
+    columns are ignored.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    return _classes(docs, threshold).drop("key")
+
+
+def _text_key(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """near_duplicates with a key of the text."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("key"), docs["text"])
     sketched = materialize(_sketches(rows), "sketches")
-    keyed = sketched.select("doc_id", "rep")
+    keyed = sketched.select("doc_id", "key", "rep")
     # copies share a name; what follows sees each word sequence once
     words = sketched.where(F.size("bands") > 0)
 
@@ -269,33 +276,43 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = materialize(banded.join(least, "key").select("key", "rep", "leader", "members", "mark"), "members")
     stars = materialize(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     named = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
-    sketch = materialize(words.select("rep", "sig", "sets").join(named, "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
+    named = materialize(named, "named")
+    few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    sketch = materialize(words.select("rep", "sig", "sets").join(few, "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
     sets = sketch.select("rep", "sets")
-    with_b = stars.join(sets.select(F.col("rep").alias("b"), F.col("sets").alias("sets_b")), "b").withColumn("_salt", F.pmod(F.hash("b"), F.lit(16)))
-    leaders = sets.join(stars.select(F.col("a").alias("rep")).distinct(), "rep").select(F.col("rep").alias("a"), F.col("sets").alias("sets_a"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    # a leader of many is dealt to as many tasks as its pairs need; most leaders have a few
+    leads = stars.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
+    with_b = stars.join(leads, "a").withColumn("_salt", F.pmod(F.hash("b"), F.col("salts"))).join(sets.select(F.col("rep").alias("b"), F.col("sets").alias("sets_b")), "b")
+    leaders = sets.join(leads.withColumnRenamed("a", "rep"), "rep").select(F.col("rep").alias("a"), F.col("sets").alias("sets_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
     checked = materialize(_star_check(with_b.join(leaders, ["a", "_salt"]), threshold), "stars")
 
-    # buckets of three and more with a failed check, one for each set of members
-    state = members.where("members > 2").join(checked.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "ok"), ["leader", "rep"], "left")
-    open_ = state.groupBy("key").agg(F.min(F.coalesce("ok", F.lit(True))).alias("done"), F.first("members").alias("members"), F.first("mark").alias("mark"), F.first("leader").alias("leader")).where(~F.col("done"))
-    open_ = open_.groupBy("members", "mark", "leader").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(members / {TILE}) as int)").alias("blocks"))
-    todo = state.select("key", "rep", "leader", "ok").join(open_, "key")
-    todo = todo.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("linked", F.when((F.col("rep") == F.col("leader")) | F.col("ok"), F.col("leader")).otherwise(F.lit(-1)))
-    todo = todo.withColumn("linked", F.when(F.col("linked") == F.col("leader"), F.lit(1)).otherwise(F.lit(-1)).cast("long"))
+    # buckets of three and more whose members the stars left in several parts, one for each set of members
+    stars_ok = checked.where("ok").select("a", "b")
+    part = components(stars_ok)
+    state = members.where("members > 2").join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "members", "mark", F.coalesce("label", "rep").alias("linked"))
+    open_ = state.groupBy("key").agg(F.min("linked").alias("low"), F.max("linked").alias("high"), F.first("members").alias("members"), F.first("mark").alias("mark")).where("low != high")
+    open_ = open_.groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(members / {TILE}) as int)").alias("blocks"))
+    todo = state.select("key", "rep", "linked").join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     tiles = todo.join(sketch.select("rep", "sig", "sets"), "rep").select("key", "x", "y", "rep", "block", "linked", "sig", "sets")
     more = tiles.groupBy("key", "x", "y").applyInPandas(_tile(threshold), "a long, b long")
-    links = checked.where("ok").select("a", "b").unionByName(more)
+    links = stars_ok.unionByName(more)
 
     label = components(links).select(F.col("node").alias("rep"), "label")
     classed = keyed.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    groups = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return classed.join(groups, "label").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("first"))
+    own = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))
+    groups = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(own).alias("_least"))
+    return classed.join(groups, "label").select("doc_id", "key", "class_id", "class_size", own.eqNullSafe(F.col("_least")).alias("first"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, that with the least id, with its own columns (of rows with that id and the
-    same text, one). Rows with a null id stay."""
-    kept = near_duplicates(docs, threshold).where("first").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each class, the first of near_duplicates, with its own columns."""
+    classes = materialize(_classes(docs, threshold), "classes")
+    names = [F.col("doc_id").alias("_id"), F.col("key").alias("_key")]
+    gone = materialize(classes.where("NOT first").select(*names).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    keyed = docs.withColumn("_key", _text_key(docs)).withColumn("_id", docs["doc_id"].cast("long"))
+    once = keyed.join(gone, keyed["_id"].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_key"]), "left_anti")
+    # rows that repeat both id and text are all first; texts are shuffled only if there are any
+    again = classes.where("first").groupBy("doc_id", "key").count().where("count > 1")
+    return (once if again.isEmpty() else once.dropDuplicates(["_id", "_key"])).select(*docs.columns)
