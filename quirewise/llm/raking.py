@@ -69,12 +69,15 @@ def _fit(base: DataFrame, alpha: float, sweeps: int, part: float, targets: dict
         whole = shares.agg(F.sum("share")).first()[0] or 1.0
         goal[d] = materialize(shares.select(d, (F.col("share") / F.lit(whole)).alias("_goal")), "margin")
     total = cells.agg(F.sum("n")).first()[0] or 0.0
-    raked = cells.withColumn("w", F.col("n"))
+    for d in DIMS:  # each cell knows its margins' goals, so that a sweep joins sums only
+        cells = cells.join(goal[d].withColumnRenamed("_goal", f"_{d}"), d, "left")
+    goals = [f"_{d}" for d in DIMS]
+    raked = materialize(cells.select(*DIMS, "n", *[F.coalesce(g, F.lit(0.0)).alias(g) for g in goals], F.col("n").alias("w")), "cells")
     for sweep in range(sweeps):
         for d in DIMS:
-            have = raked.groupBy(d).agg(F.sum("w").alias("_have")).join(goal[d], d, "left")
-            factor = have.select(d, F.when(F.col("_have") > 0, F.coalesce("_goal", F.lit(0.0)) * F.lit(total) / F.col("_have")).otherwise(F.lit(0.0)).alias("_f"))
-            raked = raked.join(factor, d).select(*DIMS, "n", (F.col("w") * F.col("_f")).alias("w"))
+            have = raked.groupBy(d).agg(F.sum("w").alias("_have"))
+            share = F.when(F.col("_have") > 0, F.col(f"_{d}") * F.lit(total) / F.col("_have")).otherwise(F.lit(0.0))
+            raked = raked.join(have, d).select(*DIMS, "n", *goals, (F.col("w") * share).alias("w"))
         raked = materialize(raked, "raked")  # a sweep's plan is read by the next three times over
     raked = raked.withColumn("weight", F.col("w") / F.col("n"))
     return raked.select(*DIMS, "weight", F.least(F.col("weight") * F.lit(_scale(raked, part * total)), F.lit(1.0)).alias("probability"))
