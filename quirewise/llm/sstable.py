@@ -36,7 +36,7 @@ FOOTER = struct.Struct("<QQQQQQQI8s")
 BLOCK = 64
 SIGN = 1 << 63
 #: Entries of either of a worker's two memos of encoded pieces.
-MEMO = 360_000
+MEMO = 300_000
 _RUN = re.compile(r"\s\s")
 _STEM = re.compile(r"[^\W\d_]+")
 FIRST = "\0"
@@ -188,7 +188,7 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         if len(self.memo) > MEMO:  # what came again first is likely to be common
             self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
-        if len(self.young) > MEMO // 2:
+        if len(self.young) > MEMO // 3:
             self.older, self.young = self.young, {}
         memo, young, seen, older = self.memo, self.young, self.young.get, self.older.get
         found: dict[str, bytes] = {}
