@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 DEGREE, BEAM, ALPHA = 28, 64, 1.2
+ENTRIES, SEARCH_BEAM = 31, 96
 SHARD = 3000
 QUERY_BLOCK = 512
 
@@ -105,7 +106,8 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
     rng = np.random.default_rng(seed)
     center = points.mean(0)
     far = ((points - center) ** 2).sum(1)
-    entry = np.array([int(far.argmin())])
+    # searches start at the middle and all over: from a dense cluster alone they might not get out
+    entry = np.unique(np.append(int(far.argmin()), rng.choice(n, min(n, ENTRIES), replace=False)))
     graph = np.full((n, degree), -1, np.int64)
     if n <= 1:
         return graph, entry
@@ -190,7 +192,7 @@ def build_index(rows: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
     return materialize(dealt.groupBy("shard").applyInPandas(build, "shard int, dim int, n int, ids binary, vectors binary, graph binary, entry binary"), "graphs")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, column: str = "embedding", beam: int = BEAM, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, column: str = "embedding", beam: int = SEARCH_BEAM, shard: int = SHARD) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query, smallest Euclidean distance
     first, then smallest id; all candidates if fewer.
 
