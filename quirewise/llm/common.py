@@ -90,8 +90,9 @@ _POW = _powers(int(_P), 4 * _BLOCK)
 _INV = _powers(_inverse(int(_P)), 4 * _BLOCK)
 
 
-def text_slices(column: pa.Array, limit: int = 4 << 20):
-    """Yield (first row, last row, bytes, row offsets) over pieces of about ``limit`` bytes; null is empty."""
+def text_slices(column: pa.Array, limit: int = 4 << 20, rows: int | None = None):
+    """Yield (first row, last row, bytes, row offsets) over pieces of about ``limit`` bytes and at most ``rows``
+    rows; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
@@ -99,7 +100,7 @@ def text_slices(column: pa.Array, limit: int = 4 << 20):
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        to = min(to, len(column))
+        to = min(to, len(column), at + rows if rows else len(column))
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

@@ -143,7 +143,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
         drop_caches()
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for lo, hi, data, offsets in text_slices(batch.column("text"), 1 << 20):
+            for lo, hi, data, offsets in text_slices(batch.column("text"), 1 << 20, 256):
                 n = hi - lo
                 _, _, doc, hashes = words_of(data, offsets)
                 owner, element, count = shingles(doc, hashes, n)
