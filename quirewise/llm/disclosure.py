@@ -1,6 +1,6 @@
 """Personal data: pattern spans, then information-theoretic sanitisation of what reveals them.
 
-DataFrame operations only. A protected entity is a value that the patterns find. A term near it
+DataFrame operations only. A protected entity is a value that the patterns find. A term of its text
 discloses it as far as corpus co-occurrence says so: with p the share of distinct texts, the term's
 pointwise mutual information with the entity, log p(e,t)/(p(e)p(t)), is set against the entity's
 information content, -log p(e). Terms at or above ``alpha`` of it (1: seeing the term gives the entity
@@ -32,7 +32,6 @@ VALID = {
     "phone": "length(regexp_replace(x.value, '[^0-9]', '')) BETWEEN 10 AND 15",
 }
 TERM = r"\p{L}{4,}"
-REACH = 48
 BROADCAST_ROWS = 100_000
 _B = 64
 
@@ -55,7 +54,7 @@ def located(text: Column, pattern: str, gate: Column | None = None) -> list[tupl
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, _text_key, spans) with spans: array<struct<start, kind_no, end, kind, value, context>>, sorted."""
+    """(doc_id, _row, _text_key, spans) with spans: array<struct<start, kind_no, end, kind, value>>, sorted."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_row", F.monotonically_increasing_id())
     for n, kind in enumerate(KINDS):
         for name, column in located(F.col("_t"), PATTERNS[kind], F.expr(GATES[kind])):
@@ -63,9 +62,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"_{kind}", F.expr(f"transform(filter(_found, x -> {VALID[kind]}), x -> named_struct('start', x.start, 'kind_no', {n}, 'end', x.end, 'kind', '{kind}', 'value', x.value))")).drop("_values", "_pieces", "_steps", "_blocks", "_found")
     spans = f"array_sort(concat({', '.join('_' + k for k in KINDS)}))"
     rows = rows.withColumn("_spans", F.expr(spans))
-    with_context = f"""transform(_spans, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind, 'value', s.value,
-        'left_at', greatest(s.start - {REACH}, 0), 'left', substring(_t, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH})), 'right', substring(_t, s.end + 1, {REACH})))"""
-    return rows.select("doc_id", "_row", F.expr("CASE WHEN size(_spans) > 0 THEN xxhash64(_t) END").alias("_text_key"), F.expr(with_context).alias("spans"))
+    return rows.select("doc_id", "_row", F.expr("CASE WHEN size(_spans) > 0 THEN xxhash64(_t) END").alias("_text_key"), F.col("_spans").alias("spans"))
 
 
 def _reveals(texts: int, alpha: float) -> Column:
@@ -84,35 +81,46 @@ def personal_data(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> Data
 
     ``base`` and ``spans`` are arrays of (start, end, kind) in code points, end exclusive, by start and then
     kind as listed (term last); ``spans`` adds disclosing terms. Terms are runs of four or more letters
-    within 48 code points of a base span, are taken only in texts that hold the entity, and never overlap
-    a base span. Null texts count as empty: no spans. Repeated rows stay and add nothing to the counts,
+    anywhere in a text that holds the entity, at every place there, and never overlap a base span. An entity
+    in fewer than ``support`` distinct texts has none. Null texts count as empty: no spans. Repeated rows stay and add nothing to the counts,
     which are over distinct texts; an empty table gives no rows; other columns are ignored.
     """
     found = materialize(base_spans(docs), "spans")
-    hits = found.where(F.size("spans") > 0).select("_row", "_text_key", F.explode("spans").alias("s"), "spans").select("_row", "_text_key", "s.*", F.expr("transform(spans, x -> struct(x.start, x.end))").alias("_all")).withColumn("_e", _entity())
-    sides = hits.select("_row", "_text_key", "_e", "_all", F.explode(F.array(F.struct(F.col("left_at").alias("at"), F.lower("left").alias("ctx")), F.struct(F.col("end").alias("at"), F.lower("right").alias("ctx")))).alias("c")).select("_row", "_text_key", "_e", "_all", "c.at", "c.ctx")
-    for name, column in located(F.col("ctx"), TERM):
-        sides = sides.withColumn(name, column)
-    near = sides.select("_row", "_text_key", "_e", "_all", "at", F.explode("_found").alias("f")).select("_row", "_text_key", "_e", "_all", F.col("f.value").alias("term"), (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end"))
-    near = materialize(near.where("NOT exists(_all, x -> x.start < end AND start < x.end)").drop("_all"), "near")
-
     whole = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k")).distinct().count()
-    n_e = hits.select("_e", "_text_key").distinct().groupBy("_e").agg(F.count("*").alias("n_e"))
-    together = near.select("_e", "term", "_text_key").distinct().groupBy("_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    # a term is in at least the texts that it was seen in near any entity: a bound that already rules out
-    # common words, so that few terms need a count over the whole corpus
-    at_least = near.select("term", "_text_key").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    together = materialize(together.join(n_e, "_e").join(at_least, "term").where(_reveals(whole, alpha)).drop("n_t"), "together")
+    # no term is with an entity in more texts than the entity itself: entities of fewer texts can't have one
+    holds = found.select("_text_key", F.explode("spans").alias("s")).select("_text_key", "s.*").select("_text_key", _entity().alias("_e")).distinct()
+    holds = materialize(holds.join(holds.groupBy("_e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "_e"), "holds")
+    keys = holds.select("_text_key").distinct()
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).where("_t != ''")
+    covered = found.select("_text_key", F.expr("transform(spans, x -> struct(x.start, x.end))").alias("_all")).join(keys, "_text_key", "left_semi").dropDuplicates(["_text_key"])
+    held = texts.select(F.xxhash64("_t").alias("_text_key"), "_t").join(keys, "_text_key", "left_semi").dropDuplicates(["_text_key"]).join(covered, "_text_key")
+    for name, column in located(F.col("_t"), TERM):
+        held = held.withColumn(name, column)
+    # written out before it is opened, so that the search runs once
+    held = materialize(held.select("_text_key", F.expr("filter(_found, x -> NOT exists(_all, a -> a.start < x.end AND x.start < a.end))").alias("_found")), "terms")
+    spots = held.select("_text_key", F.explode("_found").alias("f")).select("_text_key", F.lower("f.value").alias("term"), "f.start", "f.end")
+    spots = materialize(spots.groupBy("_text_key", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "spots")  # bounded by one text
+
+    # a term is in at least the texts that it was seen in with any entity: a bound that already rules out
+    # common words, so that few pairs are made and few terms need a count over the whole corpus
+    at_least = spots.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    n = F.lit(float(max(whole, 1)))
+    pairs = holds.join(spots.select("_text_key", "term").join(at_least, "term"), "_text_key").where(F.col("n_t") <= n * F.pow(F.col("n_e") / n, F.lit(alpha)) * (1 + 1e-9))
+    together = pairs.groupBy("_e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_et") >= support)
+    together = materialize(together.where(_reveals(whole, alpha)).drop("n_t"), "together")
     terms = together.select("term").distinct()
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).where("_t != ''")
-    seen = texts.select(F.xxhash64("_t").alias("_text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term", "left_semi")
+    seen = texts.select(F.xxhash64("_t").alias("_text_key"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).join(terms, "term", "left_semi")
     n_t = seen.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     reveals = together.join(n_t, "term").where(_reveals(whole, alpha)).select("_e", "term")
-    marked = near.join(reveals, ["_e", "term"], "left_semi").select("_row", "start", "end").distinct().groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit("term").alias("kind"))).alias("_terms"))  # bounded by one text
+    marked = holds.join(reveals, "_e").select("_text_key", "term").distinct().join(spots, ["_text_key", "term"]).select("_text_key", F.explode("places").alias("p"))
+    marked = marked.groupBy("_text_key").agg(F.collect_list(F.struct("p.start", F.lit(len(KINDS)).alias("kind_no"), "p.end", F.lit("term").alias("kind"))).alias("_terms"))  # bounded by one text
     base = F.expr("transform(spans, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind))")
-    out = found.withColumn("_base", base).join(marked, "_row", "left")
+    # rows without spans have no key: they would all meet in one task of the join
+    out = found.where("_text_key IS NOT NULL").join(marked, "_text_key", "left").unionByName(found.where("_text_key IS NULL"), allowMissingColumns=True).withColumn("_base", base)
     plain = "transform({}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))"
     return out.select(
         "doc_id", *[F.expr(f"cast(size(filter(_base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS],

@@ -323,6 +323,16 @@ def test_disclosing_terms(spark):
     assert not got[50]["spans"] and not got[91]["spans"]
 
 
+def test_disclosing_terms_of_the_whole_text(spark):
+    far = " ".join(["plain filler words"] * 20)
+    rows = [(20 + i, f"Quirkville note {i} {far} zoe@example.org {far} again quirkville {i}", "en", "a", 1) for i in range(4)]
+    rows += [(50 + i, f"note {i} {far} again", "en", "a", 1) for i in range(40)]
+    got = {r["doc_id"]: r for r in disclosure.personal_data(odd(spark, rows)).collect()}
+    for i, text, *_ in rows[:4]:
+        assert [text[s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == "term"] == ["Quirkville", "quirkville"]
+    assert not got[50]["spans"]
+
+
 # 8 nearest neighbours
 def test_nearest_recall_and_scores(spark, sf_dir, duck):
     rows = queries.op8_pruned_graph_search(spark, sf_dir).collect()
