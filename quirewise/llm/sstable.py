@@ -166,8 +166,8 @@ class Encoder:
 
     The byte-level pre-tokenizer joins a space only to what follows it, and letters never to what is none.
     In a text without two white-space characters in a row, cuts before each space, around each line end and
-    after a piece's leading letters therefore change no token; other texts are encoded whole. Strings of
-    special tokens count as ordinary text.
+    after a piece's leading letters therefore change no token; other texts, and those that hold an added token's
+    string, are encoded whole.
 
     A piece's key tells what stands before it: ``FIRST`` nothing, a line end and ``FIRST`` a line end, else a
     space.
@@ -177,7 +177,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}  # pieces that came again
         self.young: dict[str, bytes] = {}  # pieces that came once of late
         self.older: dict[str, bytes] = {}
@@ -247,7 +247,7 @@ class Encoder:
         out, open_, whole, new = [b""] * len(texts), [], [], set()
         get = self.memo.get
         for i, text in enumerate(texts):
-            if FIRST in text or _RUN.search(text):
+            if FIRST in text or _RUN.search(text) or any(x in text for x in self.added):
                 whole.append(i)
             elif text:
                 pieces = (FIRST + text.replace("\n", " " + _LINE)).split(" ")

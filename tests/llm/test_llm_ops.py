@@ -464,6 +464,16 @@ def test_token_shards_odd_rows_and_lookup(spark, tmp_path):
     assert sstable.token_shards(odd(spark, [])).count() == 0
 
 
+def test_added_tokens_as_the_library_encodes_them():
+    from tokenizers import Tokenizer
+
+    path = sstable.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["end<|endoftext|>start", "a <|endoftext|> b\nc", "<|endoftext|>", "no token <|endoftext >", "plain words"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in sstable.Encoder(path).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [437, 50256, 9688]
+
+
 def test_shard_file_search():
     sink = io.BytesIO()
     sink.close_ = sink.close
