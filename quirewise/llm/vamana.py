@@ -23,8 +23,17 @@ QUERY_BLOCK = 512
 
 def _squares(points: np.ndarray, a: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances from each row of a to points[ids[row]]."""
-    got = points[ids]
-    return np.maximum((got * got).sum(-1) - 2 * np.einsum("qrd,qd->qr", got, a) + (a * a).sum(-1)[:, None], 0)
+    gap = points[ids] - a[:, None]  # of differences: the expanded form cancels where vectors are close
+    return np.einsum("qrd,qrd->qr", gap, gap)
+
+
+def _frame(exact: np.ndarray):
+    """What brings a shard's vectors into float32 for the walk: scaled, so that huge or tiny values don't
+    overflow it, then centred and scaled again, so that close vectors stay apart."""
+    scale = np.abs(exact).max()
+    center = (exact / scale).mean(0)
+    spread = np.abs(exact / scale - center).max() or 1.0
+    return lambda v: ((v / scale - center) / spread).astype(np.float32)
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, keep_seen: bool = False):
@@ -83,7 +92,6 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, cand: np.ndarray, dist:
     row = np.arange(len(nodes))[:, None]
     cand, dist = cand[row, order], dist[row, order].copy()
     got = points[np.maximum(cand, 0)]
-    norm = (got * got).sum(-1)
     out = np.full((len(nodes), degree), -1, np.int64)
     every = np.arange(len(nodes))
     for k in range(degree):
@@ -93,7 +101,8 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, cand: np.ndarray, dist:
             break
         out[ok, k] = cand[every, best][ok]
         pick = got[every, best]
-        between = np.maximum(norm + (pick * pick).sum(-1)[:, None] - 2 * np.einsum("qcd,qd->qc", got, pick), 0)
+        gap = got - pick[:, None]
+        between = np.einsum("qcd,qcd->qc", gap, gap)
         dist[alpha * alpha * between <= dist] = np.inf
         dist[every, best] = np.inf
         dist[cand == cand[every, best][:, None]] = np.inf
@@ -181,8 +190,7 @@ def build_index(rows: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
             exact = np.array(part["v"].tolist(), np.float64)
             order = np.lexsort(exact.T[::-1])
             exact = exact[order]
-            scale = np.abs(exact).max()  # float32 for the walk; huge or tiny values must not overflow it
-            graph, entry = build_graph((exact / scale).astype(np.float32))
+            graph, entry = build_graph(_frame(exact)(exact))
             ids = np.full((len(part), keep), -1, np.int64)
             for i, own in enumerate(part["ids"].iloc[order]):
                 ids[i, : len(own)] = own
@@ -228,9 +236,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, c
                 exact = np.frombuffer(r["vectors"], np.float64).reshape(n, dim)
                 graph = np.frombuffer(r["graph"], np.int32).reshape(n, -1).astype(np.int64)
                 who, points = np.frombuffer(r["asked"], np.int64), np.frombuffer(r["points"], np.float64).reshape(-1, dim)
-                scale = np.abs(exact).max()
-                found, dist = beam_search((exact / scale).astype(np.float32), graph, np.frombuffer(r["entry"], np.int32).astype(np.int64), (points / scale).astype(np.float32), max(beam, k + 1))
-                found, dist = found[:, : k + 2], dist[:, : k + 2]
+                frame = _frame(exact)
+                found, dist = beam_search(frame(exact), graph, np.frombuffer(r["entry"], np.int32).astype(np.int64), frame(points), max(beam, k + 1))
                 real = (found >= 0) & np.isfinite(dist)
                 row, col = np.nonzero(real)
                 node = found[row, col]

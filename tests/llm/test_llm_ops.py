@@ -362,6 +362,18 @@ def test_nearest_larger_shards_recall():
     assert np.mean([len(set(a) & set(b[:11])) / 11 for a, b in zip(want, ids)]) >= 0.9
 
 
+def test_nearest_recall_in_tight_clusters(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=64)
+    x = middle / np.linalg.norm(middle) * (1 + 3e-4 * rng.normal(size=(1500, 64)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in vamana.nearest(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = [len(got[q] & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, 1500, 100)]
+    assert np.mean(hits) >= 9
+
+
 def test_nearest_copies_ties_and_odd_rows(spark):
     one = [1.0, 0.0]
     rows = [(i, one) for i in range(0, 400)] + [(1000, [2.0, 0.0]), (1100, None), (1200, [0.0, 0.0]), (1300, [float("nan"), 1.0]), (1400, [None, 1.0]), (1500, [float("inf"), 1.0]), (1600, []), (None, [1.0, 2.0]), (1000, [2.0, 0.0]), (1700, [1.0, 1.0, 1.0])]
