@@ -167,6 +167,17 @@ def test_contamination_of_changed_values(spark):
     assert decontaminate.contaminated(odd(spark, rows), bench.where("item_id < 0")).count() == 0
 
 
+def test_contamination_of_number_heavy_short_and_recased_items(spark):
+    heavy = "Add 12 15 18 21 24 27 30 33 36 39 42 45 and then halve it"
+    tom = "Tom has 5 apples. Tom buys 7 more apples. Tom eats 3 apples. How many apples does Tom have?"
+    names = "Then Anna Bert Carl Dora Emil Fred Gina Hans Ida Jan Karl Lea met near the old mill on a day"
+    bench = spark.createDataFrame([(1, heavy), (2, "What is 17 plus 25?"), (3, tom), (4, names)], "item_id long, text string")
+    anna = tom.replace("Tom", "Anna").replace("5", "6").replace("7", "9")
+    rows = [(1, "See: " + heavy), (2, "Quiz. what is 17 plus 25? Easy."), (3, "Now. " + anna), (4, names.lower()), (5, names.replace(" ", "\n")), (6, "what is 18 plus 25"), (7, None)]
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, True), (5, 4, True), (6, 2, False)}
+
+
 # 5 mixing
 def test_raking_meets_margins(spark, sf_dir):
     rows = raking.rake(docs_of(spark, sf_dir)).toPandas()
