@@ -7,9 +7,10 @@ to their weighted Jaccard similarity, sum of minima over sum of maxima. Only abo
 are thrown, however long it is.
 
 Bands of coordinates are joined by their hash. In a bucket, members are compared with its least member
-first (a star, not all pairs) and checked exactly; buckets that still hold several parts are searched in
-square tiles in which signatures decide what is checked, and only links that join two parts go out. Classes
-are connected components of the links, found by label propagation over the link table.
+first (a star, not all pairs) and checked exactly. Buckets that still hold several parts are searched in
+tiles: signatures alone say which members may be alike, only their shingle sets are moved, and only links
+that join two parts go out; large ones are parted by a further band before. Classes are connected components
+of the links, found by label propagation over the link table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_caches, materialize, mix64, small_batches, text_slices, windows_of, words_of
+from .common import drop_caches, fresh, materialize, mix64, release, small_batches, text_slices, windows_of, words_of
+from .urlfilter import build_filter, probe
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -28,6 +30,8 @@ K = BANDS * ROWS
 #: Pairs whose signatures agree on less than this share are not checked (0.8 is 4 standard errors away).
 SCREEN = 0.69
 TILE = 512
+#: Times that buckets of more members than a tile are parted by a further band.
+DEPTH = 2
 #: Up to so many names of candidates (8 bytes each) are broadcast to the sketches; more are shuffled.
 BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -192,6 +196,26 @@ class _Parts:
         self.up[max(i, j)] = min(i, j)
 
 
+def _suspects():
+    """The rows of a tile of one bucket whose signature agrees with that of a row of another part."""
+
+    def run(key, pdf):
+        pdf = pdf.drop_duplicates("rep").reset_index(drop=True)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        _, part = np.unique(pdf["linked"].to_numpy(), return_inverse=True)
+        block = pdf["block"].to_numpy()
+        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        found = np.zeros(len(pdf), bool)
+        for i in left:
+            other = right[part[right] != part[i]]
+            near = other[(sig[other] == sig[i]).mean(1) >= SCREEN]
+            found[near] = True
+            found[i] |= len(near) > 0
+        return pdf.loc[found, ["key", "x", "y", "rep", "block", "linked"]]
+
+    return run
+
+
 def _tile(threshold: float):
     """Links between the rows of one tile of one bucket that join two parts; most alike pairs first."""
 
@@ -225,6 +249,53 @@ def _tile(threshold: float):
     return run
 
 
+def _divided(members: DataFrame) -> DataFrame:
+    """(key, members) of the buckets of (key, rep, linked) that hold several parts; of buckets with the same
+    members, known by two 64-bit sums, their number and their ends, one."""
+    marks = [F.bit_xor(F.xxhash64("rep")).alias("m0"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m1"), F.min("rep").alias("m2"), F.max("rep").alias("m3")]
+    found = members.groupBy("key").agg(F.min("linked").alias("low"), F.max("linked").alias("high"), F.count("*").alias("members"), *marks).where("low != high")
+    return found.groupBy("members", "m0", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "members")
+
+
+def _members_of(hits: DataFrame, divided: DataFrame) -> DataFrame:
+    return hits.join(divided, "key").select("key", "rep", "linked", "members")
+
+
+def _refined(large: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, rep, linked): the members of large buckets in finer ones, each the members of one that agree in
+    another band as well."""
+    bands = words.select("rep", "bands").join(large.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    finer = large.select("key", "rep", "linked").join(bands, "rep").select("rep", "linked", F.col("key").alias("_key"), F.explode("bands").alias("_band")).where("_key != _band")
+    return finer.select(F.xxhash64("_key", "_band").alias("key"), "rep", "linked")
+
+
+def _more_links(state: DataFrame, sketch: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the parts of divided buckets, from their members (key, rep, linked).
+
+    A bucket of up to TILE members is one tile, in which signatures decide what is checked. A larger one is
+    first parted into finer buckets, whose members agree in a second band (at most DEPTH times: two texts of
+    similarity 0.8 agree in one band alone with probability 0.0002); what then is still larger is searched in
+    square tiles, whole."""
+    rounds = []
+    for depth in range(DEPTH + 1):
+        open_ = materialize(_members_of(state, _divided(state)), "open")
+        last = depth == DEPTH
+        rounds.append(open_ if last else open_.where(F.col("members") <= TILE))
+        large = open_.where(F.col("members") > TILE)
+        if last or large.isEmpty():
+            break
+        state = materialize(_refined(large, words), "finer")
+    todo = rounds[0]
+    for r in rounds[1:]:
+        todo = todo.unionByName(r)
+    todo = todo.withColumn("blocks", F.expr(f"cast(ceil(members / {TILE}) as int)")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    tiles = todo.join(sketch.select("rep", "sig"), "rep").select("key", "x", "y", "rep", "block", "linked", "sig")
+    suspects = materialize(tiles.groupBy("key", "x", "y").applyInPandas(_suspects(), "key long, x int, y int, rep long, block int, linked long"), "suspects")
+    tiles = suspects.join(sketch.select("rep", "sig", "sets"), "rep").select("key", "x", "y", "rep", "block", "linked", "sig", "sets")
+    return materialize(tiles.groupBy("key", "x", "y").applyInPandas(_tile(threshold), "a long, b long"), "more")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for nodes of (a, b): label is the least node of the component.
 
@@ -261,58 +332,92 @@ def _text_key(docs: DataFrame):
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
+def _shared(words: DataFrame) -> DataFrame:
+    """(key, rep, leader): members of the buckets that at least two texts share, and the least of each.
+
+    Most buckets hold one text: a Bloom filter of the shared ones keeps those from the second shuffle."""
+    spark = words.sparkSession
+    banded = words.select("rep", F.explode("bands").alias("key"))
+    least = materialize(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader != _last").drop("_last"), "buckets")
+    blocks = spark.sparkContext.broadcast(build_filter(least, hashed=True))
+
+    def run(batches):
+        for batch in batches:
+            rep, bands = batch.column("rep"), batch.column("bands")
+            flat = bands.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), bands.value_lengths().to_numpy())
+            at = np.flatnonzero(probe(blocks.value, flat))
+            yield pa.RecordBatch.from_arrays([pa.array(rep.to_numpy()[row[at]]), pa.array(flat[at])], names=["rep", "key"])
+
+    hits = words.select("rep", "bands").mapInArrow(run, "rep long, key long").distinct()
+    members = materialize(hits.join(least, "key").select("key", "rep", "leader"), "members")
+    release(least)
+    return members
+
+
+def _checked(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of at least ``threshold``. Signatures rule out most of the others before the shingle
+    sets are moved; an a of many is dealt to as many tasks as its pairs need, most have a few."""
+
+    def beside(pairs, column):
+        leads = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
+        other = sketch.select("rep", F.col(column).alias("_x"))
+        with_b = pairs.join(leads, "a").withColumn("_salt", F.pmod(F.hash("b"), F.col("salts"))).join(other.withColumnsRenamed({"rep": "b", "_x": f"{column}_b"}), "b")
+        leaders = other.join(leads.withColumnRenamed("a", "rep"), "rep").select(F.col("rep").alias("a"), F.col("_x").alias(f"{column}_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
+        return with_b.join(leaders, ["a", "_salt"])
+
+    def screen(batches):
+        for batch in batches:
+            n = batch.num_rows
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, K) if n else np.empty((0, K), np.uint8) for c in ("sig_a", "sig_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= SCREEN))
+
+    near = materialize(beside(pairs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(screen, "a long, b long"), "screened")
+    return materialize(_star_check(beside(near, "sets"), threshold).where("ok").select("a", "b"), "stars")
+
+
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """near_duplicates with a key of the text."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("key"), docs["text"])
     sketched = materialize(_sketches(rows), "sketches")
-    keyed = sketched.select("doc_id", "key", "rep")
     # copies share a name; what follows sees each word sequence once
     words = sketched.where(F.size("bands") > 0)
-
-    banded = words.select("rep", "bands").dropDuplicates(["rep"]).select("rep", F.explode("bands").alias("key"))
-    least = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members"), F.sum(F.hash("rep").cast("long")).alias("mark")).where("members > 1")
-    least = materialize(least, "buckets")
-    members = materialize(banded.join(least, "key").select("key", "rep", "leader", "members", "mark"), "members")
+    members = _shared(words)
     stars = materialize(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    named = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
-    named = materialize(named, "named")
+    named = materialize(stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct(), "named")
     few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     sketch = materialize(words.select("rep", "sig", "sets").join(few, "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
-    sets = sketch.select("rep", "sets")
-    # a leader of many is dealt to as many tasks as its pairs need; most leaders have a few
-    leads = stars.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
-    with_b = stars.join(leads, "a").withColumn("_salt", F.pmod(F.hash("b"), F.col("salts"))).join(sets.select(F.col("rep").alias("b"), F.col("sets").alias("sets_b")), "b")
-    leaders = sets.join(leads.withColumnRenamed("a", "rep"), "rep").select(F.col("rep").alias("a"), F.col("sets").alias("sets_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
-    checked = materialize(_star_check(with_b.join(leaders, ["a", "_salt"]), threshold), "stars")
-
-    # buckets of three and more whose members the stars left in several parts, one for each set of members
-    stars_ok = checked.where("ok").select("a", "b")
-    part = components(stars_ok)
-    state = members.where("members > 2").join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "members", "mark", F.coalesce("label", "rep").alias("linked"))
-    open_ = state.groupBy("key").agg(F.min("linked").alias("low"), F.max("linked").alias("high"), F.first("members").alias("members"), F.first("mark").alias("mark")).where("low != high")
-    open_ = open_.groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(members / {TILE}) as int)").alias("blocks"))
-    todo = state.select("key", "rep", "linked").join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    tiles = todo.join(sketch.select("rep", "sig", "sets"), "rep").select("key", "x", "y", "rep", "block", "linked", "sig", "sets")
-    more = tiles.groupBy("key", "x", "y").applyInPandas(_tile(threshold), "a long, b long")
-    links = stars_ok.unionByName(more)
-
-    label = components(links).select(F.col("node").alias("rep"), "label")
-    classed = keyed.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    links = _checked(stars, sketch, threshold)
+
+    # buckets of three and more whose members the stars left in several parts
+    part = components(links)
+    state = members.select("key", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("linked"))
+    many = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 2").select("key")
+    more = _more_links(materialize(state.join(many, "key", "left_semi"), "state"), sketch, words, threshold)
+
+    # parts that further links join, and so the class of each text
+    ends = more.join(part.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(part.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b"))
+    label = part.select("node", "label").unionByName(joined.select("node", F.col("node").alias("label")).join(part.select("node"), "node", "left_anti"))
+    label = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left").select(F.col("node").alias("rep"), F.coalesce("_to", "label").alias("label"))
+    keyed = sketched.select("doc_id", "key", "rep")
+    classed = materialize(keyed.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("doc_id", "key", "label"), "classed")
+    release(sketched, sketch, members, stars, named)
     own = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))
-    groups = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(own).alias("_least"))
+    # written, so that the join below sees plain tables, whose hot labels Spark can split
+    groups = materialize(classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(own).alias("_least")), "classes")
     return classed.join(groups, "label").select("doc_id", "key", "class_id", "class_size", own.eqNullSafe(F.col("_least")).alias("first"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the first of near_duplicates, with its own columns."""
     classes = materialize(_classes(docs, threshold), "classes")
-    names = [F.col("doc_id").alias("_id"), F.col("key").alias("_key")]
-    gone = materialize(classes.where("NOT first").select(*names).distinct(), "gone")
+    id_, key, gone_id, gone_key = fresh(docs.columns, "_id", "_key", "_gone_id", "_gone_key")
+    gone = materialize(classes.where("NOT first").select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    keyed = docs.withColumn("_key", _text_key(docs)).withColumn("_id", docs["doc_id"].cast("long"))
-    once = keyed.join(gone, keyed["_id"].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_key"]), "left_anti")
+    keyed = docs.withColumns({key: _text_key(docs), id_: docs["doc_id"].cast("long")})
+    once = keyed.join(gone, F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
     # rows that repeat both id and text are all first; texts are shuffled only if there are any
     again = classes.where("first").groupBy("doc_id", "key").count().where("count > 1")
-    return (once if again.isEmpty() else once.dropDuplicates(["_id", "_key"])).select(*docs.columns)
+    return (once if again.isEmpty() else once.dropDuplicates([id_, key])).select(*docs.columns)

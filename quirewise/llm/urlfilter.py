@@ -43,10 +43,9 @@ def build_filter(keys: DataFrame, key: str = "key", bits_per_key: int = 16, hash
     n = keys.count()
     blocks = min(MAX_BLOCKS, max(1, -(-n * bits_per_key // 512)))
     rows = keys.select(F.col(key) if hashed else F.xxhash64(key)).toDF("h").select(F.expr(f"shiftright(shiftrightunsigned(h, 33) * {blocks}L, 31)").alias("block"), *[F.expr(x).alias(f"w{i}") for i, x in enumerate(_lane_bits("h"))])
-    rows = rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)]).collect()
+    rows = rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)]).toArrow()
     out = np.zeros((blocks, 8), np.int64)
-    for r in rows:
-        out[r["block"]] = r[1:]
+    out[rows["block"].to_numpy()] = np.stack([rows[f"w{i}"].to_numpy() for i in range(8)], 1)
     return out.view(np.uint64)
 
 
