@@ -16,6 +16,9 @@ from .common import small_batches
 
 #: Exact phrases of the base labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Words that tell one license from another: no edit may fall on them (numbers never take any). Of a version
+#: like "2 0" the first number tells.
+EXACT = frozenset("mit apache gnu lesser affero mozilla nc sa cc by reserved".split())
 #: Notices searched with errors: (words, label).
 NOTICES = (
     ("released under the mit license", "mit"),
@@ -44,6 +47,18 @@ def allowed(phrase: str, share: float) -> int:
     return int(len(phrase) * share)
 
 
+def telling(phrase: str) -> list[bytes]:
+    """The notice's words that must stand in a place as they are, in order."""
+    words = phrase.split()
+    return [w.encode() for i, w in enumerate(words) if w in EXACT or w.isdigit() and not (i and words[i - 1].isdigit())]
+
+
+def holds(words: list[bytes], wanted: list[bytes]) -> bool:
+    """Whether ``wanted`` stand among ``words`` in order."""
+    rest = iter(words)
+    return all(w in rest for w in wanted)
+
+
 class Scanner:
     """Search state of one worker."""
 
@@ -55,7 +70,7 @@ class Scanner:
         self.notices, seeds = [], {}
         for n, (phrase, label) in enumerate(notices):
             k = allowed(phrase, share)
-            self.notices.append((phrase, label, k, regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={k}}}")))
+            self.notices.append((phrase, label, k, telling(phrase), regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={k}}}")))
             edge = [round(i * len(phrase) / (k + 1)) for i in range(k + 2)]
             for a, b in zip(edge, edge[1:]):
                 seeds.setdefault(phrase[a:b], []).append((n, a))
@@ -80,7 +95,7 @@ class Scanner:
         for end, (size, uses) in self.seeds.iter(flat):
             for n, offset in uses:
                 start = end + 1 - size - offset
-                phrase, label, k, pattern = self.notices[n]
+                phrase, label, k, wanted, pattern = self.notices[n]
                 if tried.get(n) == start:  # another piece of the same place
                     continue
                 tried[n] = start
@@ -97,15 +112,20 @@ class Scanner:
                         a, b = flat.rfind(" ", 0, a) + 1, flat.find(" ", b)
                         if abs((b - a) - len(phrase)) > k:
                             continue
+                    if not holds(norm[a:b].split(), wanted):
+                        continue
                     first, edits = norm.count(b" ", 0, a) - 1, sum(hit.fuzzy_counts)
                     key = (label, first)
                     if key not in spans or edits < spans[key]["edits"]:
                         spans[key] = {"label": label, "first": first, "words": flat.count(" ", a, b) + 1, "edits": edits, "score": 1 - edits / len(phrase), "text": norm[a:b].decode("utf-8", "replace")}
-        # of spans on the same words the surest stays: versions of one license differ by a character
+        # of spans on the same words the surest stays; where several licenses fit as well, none
+        meet = lambda s, t: s["first"] < t["first"] + t["words"] and t["first"] < s["first"] + s["words"] and s["label"] != t["label"]
+        rank = lambda s: (-s["score"], -s["words"])
         kept: list[dict] = []
-        for s in sorted(spans.values(), key=lambda s: (-s["score"], -s["words"], s["label"], s["first"])):
-            if not any(s["first"] < t["first"] + t["words"] and t["first"] < s["first"] + s["words"] and s["label"] != t["label"] for t in kept):
+        for s in sorted(spans.values(), key=lambda s: (*rank(s), s["label"], s["first"])):
+            if not any(meet(s, t) for t in kept) or any(meet(s, t) and rank(s) == rank(t) for t in kept):
                 kept.append(s)
+        kept = [s for s in kept if not any(meet(s, t) and rank(s) == rank(t) for t in kept)]
         return len(words), sorted(places), labels, sorted(kept, key=lambda s: (s["first"], s["label"]))
 
 
@@ -119,10 +139,10 @@ _OUT = pa.schema(
 def license_notices(docs: DataFrame, notices=NOTICES, base=BASE, share: float = 0.1) -> DataFrame:
     """One row per document with its words, exact base places, labels, best score and fuzzy spans.
 
-    ``share`` of a notice's characters may differ. Null texts count as empty and give zeros, null places
+    ``share`` of a notice's characters may differ, but none of its numbers and telling words. Null texts count as empty and give zeros, null places
     and empty labels; repeated rows and ids stay; an empty table gives no rows; texts are searched whole;
     spans starting at one word under one label keep the fewest edits, and of overlapping spans of several
-    labels the surest stays. Other columns are ignored.
+    labels the surest stays, or none if they fit equally. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 
