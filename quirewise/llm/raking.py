@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Everything is DataFrame operations. Token weights are summed into cells of (source, language, topic);
-the cells are raked until their margins meet the targets; each document is then drawn with a probability
-in proportion to its cell's weight, calibrated to the wanted share of all tokens, by a hash of its id.
+Everything is DataFrame operations. Token weights are summed into cells of (source, language, topic); the
+cells are raked until their margins meet the targets. No document is drawn twice, so the draw is raked again
+under the bound that no cell's probability passes 1: a margin that is too small for its share of the draw is
+kept whole, and the others of its dimension share what it leaves, in proportion to their targets. Each document
+is then drawn by a hash of its id.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 DIMS = ("source", "lang", "topic")
 _U = "cast(conv(substr(md5(cast(coalesce(doc_id, -1) as string)), 1, 13), 16, 10) as double) / 4503599627370496D"
@@ -36,14 +38,15 @@ def rake(docs: DataFrame, alpha: float = 0.7, sweeps: int = 10, share: float = 0
 
     A margin's target share is its own share to the power ``alpha``, normalised, unless ``targets`` has a
     table (value, share) for it; a value without a target, or with a share of 0, gets weight 0. ``weight``
-    is raked token weight over tokens of the document's cell, ``probability`` the same scaled, and cut at 1,
-    so that the expected tokens are ``share`` of all, and a document is sampled if a hash of its id falls
-    below it. Null source,
-    language and text count as '' (topic 'empty'); documents without tokens have weight and probability
-    1 of their own and stay; a null id draws as -1; repeated rows draw alike; an empty table gives no rows;
-    clashing columns (topic, tokens, weight, ...) of the input are ignored.
+    is raked token weight over tokens of the document's cell. ``probability`` is raked from it, at most 1, so
+    that the expected tokens are ``share`` of all (of those with a weight, if they are fewer) and each margin
+    meets its target as far as it has tokens; a document is sampled if a hash of its id falls below it. Both
+    take up to ``sweeps`` sweeps and stop when one moves nothing. Null source, language and text count as ''
+    (topic 'empty'); documents without tokens have weight and probability 1 of their own and stay; a null id
+    draws as -1; repeated rows draw alike; an empty table gives no rows; clashing columns (topic, tokens,
+    weight, ...) of the input are ignored.
     """
-    base = _cells_of(docs)
+    base = materialize(_cells_of(docs), "tokens")  # a few numbers a document: texts are read once
     weights = _fit(base, alpha, sweeps, share, targets)
     # a few numbers a cell against all documents: cells are few, and where they are not Spark shuffles;
     # cells may be hot, so AQE may split the documents' side
@@ -60,27 +63,57 @@ def _cells_of(docs: DataFrame, *more: str) -> DataFrame:
 def _fit(base: DataFrame, alpha: float, sweeps: int, part: float, targets: dict | None) -> DataFrame:
     """(source, lang, topic, weight, probability) of every cell with tokens."""
     cells = materialize(base.groupBy(*DIMS).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0"), "cells")
-    goal = {}
-    for d in DIMS:
-        if targets and d in targets:
-            shares = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias("share"))
-        else:
-            shares = cells.groupBy(d).agg(F.pow(F.sum("n"), F.lit(alpha)).alias("share"))
-        whole = shares.agg(F.sum("share")).first()[0] or 1.0
-        goal[d] = materialize(shares.select(d, (F.col("share") / F.lit(whole)).alias("_goal")), "margin")
     total = cells.agg(F.sum("n")).first()[0] or 0.0
     for d in DIMS:  # each cell knows its margins' goals, so that a sweep joins sums only
-        cells = cells.join(goal[d].withColumnRenamed("_goal", f"_{d}"), d, "left")
-    goals = [f"_{d}" for d in DIMS]
-    raked = materialize(cells.select(*DIMS, "n", *[F.coalesce(g, F.lit(0.0)).alias(g) for g in goals], F.col("n").alias("w")), "cells")
-    for sweep in range(sweeps):
+        margin = cells.groupBy(d).agg(F.sum("n").alias("_own"))
+        if targets and d in targets:
+            margin = margin.join(targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias("_goal")), d, "left").fillna(0.0, ["_goal"])
+        else:
+            margin = margin.withColumn("_goal", F.pow("_own", F.lit(alpha)))
+        margin = materialize(margin, "margin")
+        whole = margin.agg(F.sum("_goal")).first()[0] or 1.0
+        margin = margin.select(d, "_own", (F.col("_goal") / F.lit(whole)).alias("_goal"))
+        # what the draw can have of each: its goal's share at the factor that makes up the draw, or all it has
+        able = margin.where("_goal > 0").agg(F.sum("_own")).first()[0] or 0.0
+        scale = _scale(margin.select(F.col("_own").alias("n"), (F.col("_goal") / F.col("_own")).alias("weight")), min(part * total, able))
+        take = F.least(F.col("_own"), F.col("_goal") * F.lit(scale))
+        cells = cells.join(margin.select(d, F.col("_goal").alias(f"_{d}"), take.alias(f"_take_{d}"), (take >= F.col("_own")).alias(f"_all_{d}")), d)
+    kept = [c for d in DIMS for c in (f"_{d}", f"_take_{d}", f"_all_{d}")]
+    raked = cells.select(*DIMS, "n", *kept, F.col("n").alias("w"))
+    raked = _swept(materialize(raked, "raked"), sweeps, lambda d: F.when(F.col("_have") > 0, F.col("w") * F.col(f"_{d}") * F.lit(total) / F.col("_have")).otherwise(F.lit(0.0)), F.sum("w"))
+    raked = raked.withColumn("weight", F.col("w") / F.col("n")).withColumn("w", F.col("w") * F.lit(part))
+    # under the bound: w may pass n, but counts for n
+    full = F.col("w") >= F.col("n")
+
+    def bounded(d):
+        free = F.when(F.col("_have") > 0, F.greatest(F.col(f"_take_{d}") - F.col("_full"), F.lit(0.0)) / F.col("_have")).otherwise(F.lit(1.0))
+        # cells that stand at 1 leave no room: all are scaled down
+        factor = F.when((F.col("_full") >= F.col(f"_take_{d}")) & (F.col("_full") > 0), F.col(f"_take_{d}") / (F.col("_full") + F.col("_have"))).otherwise(free)
+        return F.when(F.col(f"_all_{d}"), F.when(F.col("w") > 0, F.greatest("w", "n")).otherwise(F.col("w"))).otherwise(F.col("w") * factor)
+
+    raked = _swept(materialize(raked, "raked"), sweeps, bounded, F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.sum(F.when(full, F.col("n")).otherwise(0.0)))
+    raked = materialize(raked.select(*DIMS, "n", F.col("weight").alias("_weight"), (F.col("w") / F.col("n")).alias("weight")), "raked")
+    able = raked.where("weight > 0").agg(F.sum("n")).first()[0] or 0.0
+    scale = _scale(raked, min(part * total, able))
+    return raked.select(*DIMS, F.col("_weight").alias("weight"), F.least(F.col("weight") * F.lit(scale), F.lit(1.0)).alias("probability"))
+
+
+def _swept(cells: DataFrame, sweeps: int, step, have, full=None) -> DataFrame:
+    """Cells after up to ``sweeps`` sweeps over the margins; ``step`` gives w from a margin's sums."""
+    names = cells.columns
+    for _ in range(sweeps):
+        before = cells
         for d in DIMS:
-            have = raked.groupBy(d).agg(F.sum("w").alias("_have"))
-            share = F.when(F.col("_have") > 0, F.col(f"_{d}") * F.lit(total) / F.col("_have")).otherwise(F.lit(0.0))
-            raked = raked.join(have, d).select(*DIMS, "n", *goals, (F.col("w") * share).alias("w"))
-        raked = materialize(raked, "raked")  # a sweep's plan is read by the next three times over
-    raked = raked.withColumn("weight", F.col("w") / F.col("n"))
-    return raked.select(*DIMS, "weight", F.least(F.col("weight") * F.lit(_scale(raked, part * total)), F.lit(1.0)).alias("probability"))
+            sums = cells.groupBy(d).agg(have.alias("_have"), (F.lit(0.0) if full is None else full).alias("_full"))
+            cells = cells.join(sums, d).select(*[c for c in names if c != "w"], step(d).alias("w"))
+            cells = cells.select(*names)
+        cells = before.select(*DIMS, F.col("w").alias("_before")).join(cells, list(DIMS))
+        cells = materialize(cells, "raked")  # a sweep's plan is read by the next three times over
+        moved = cells.agg(F.max(F.abs(F.col("w") - F.col("_before")) / F.col("n"))).first()[0]
+        cells = cells.select(*names)
+        if not moved or moved < 1e-12:
+            break
+    return cells
 
 
 def _scale(cells: DataFrame, want: float) -> float:
@@ -91,7 +124,7 @@ def _scale(cells: DataFrame, want: float) -> float:
         full = F.col("weight") * F.lit(scale) >= 1
         r = cells.agg(F.sum(F.when(full, F.col("n")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("n") * F.col("weight"))).alias("rest")).first()
         if not r["rest"]:
-            return max(scale, 1.0)
+            return scale or 1.0
         new = (want - r["full"]) / r["rest"]
         if new <= scale * (1 + 1e-12):
             return scale
@@ -100,12 +133,12 @@ def _scale(cells: DataFrame, want: float) -> float:
 
 def mixed(docs: DataFrame, alpha: float = 0.7, sweeps: int = 10, share: float = 0.8) -> DataFrame:
     """The sampled rows of ``docs`` with their own columns."""
-    names = docs.columns
-    cell = _cells_of(docs)
-    weights = _fit(cell, alpha, sweeps, share, None).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("probability").alias("_probability"))
-    keyed = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic()})
-    out = keyed.join(weights, ["_source", "_lang", "_topic"], "left")
-    return out.where((tokens() == 0) | (F.expr(_U) < F.coalesce("_probability", F.lit(0.0)))).select(*names)
+    cells = materialize(_cells_of(docs), "tokens")
+    keys = fresh(docs.columns, "_source", "_lang", "_topic", "_probability")
+    weights = _fit(cells, alpha, sweeps, share, None).select(*DIMS, "probability").toDF(*keys)
+    keyed = docs.withColumns(dict(zip(keys, (F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), topic()))))
+    out = keyed.join(weights, keys[:3], "left")
+    return out.where((tokens() == 0) | (F.expr(_U) < F.coalesce(keys[3], F.lit(0.0)))).select(*docs.columns)
 
 
 def oracle(alpha: float = 0.7, sweeps: int = 10, share: float = 0.8) -> str:
@@ -119,18 +152,33 @@ def oracle(alpha: float = 0.7, sweeps: int = 10, share: float = 0.8) -> str:
       CAST(CASE WHEN length({text}) = 0 THEN 0 ELSE length({text}) - length(translate({text}, ' ' || chr(10), '')) + 1 END AS BIGINT) AS tokens FROM documents)""",
       "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(tokens) > 0)", "t AS (SELECT sum(n) AS total FROM c)"]
     for dim in DIMS:
-        parts.append(f"g_{dim} AS MATERIALIZED (SELECT {dim}, pow(sum(n), {alpha}) / sum(pow(sum(n), {alpha})) OVER () AS goal FROM c GROUP BY {dim})")
+        parts.append(f"""m_{dim} AS (SELECT {dim}, sum(n) AS own, pow(sum(n), {alpha}) / sum(pow(sum(n), {alpha})) OVER () AS goal FROM c GROUP BY {dim})""")
+        parts.append(_level(f"k_{dim}", f"(SELECT own AS n, goal / own AS weight FROM m_{dim}), t", f"{share} * total"))
+        parts.append(f"g_{dim} AS MATERIALIZED (SELECT {dim}, goal, own, least(own, goal * scale) AS take, own <= goal * scale AS whole FROM m_{dim}, k_{dim})")
     last = "(SELECT *, n AS w FROM c)"
     for s in range(sweeps):
         for dim in DIMS:
             name = f"r{s}_{dim}"
             parts.append(f"{name} AS MATERIALIZED (SELECT x.source, x.lang, x.topic, n, w * goal * total / sum(w) OVER (PARTITION BY x.{dim}) AS w FROM {last} x JOIN g_{dim} USING ({dim}), t)")
             last = name
-    parts.append(f"o AS (SELECT *, w / n AS weight, {share} * total - coalesce(sum(n) OVER a, 0) AS left_n, sum(w) OVER b AS rest FROM {last}, t WHERE w > 0 WINDOW a AS (ORDER BY w / n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (ORDER BY w / n DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
-    parts.append("s AS (SELECT arg_max(left_n / rest, weight) AS scale FROM o WHERE left_n / rest * weight < 1)")
-    parts.append(f"f AS (SELECT source, lang, topic, w / n AS weight, least(w / n * scale, 1.0) AS probability FROM {last}, s)")
+    fitted, last = last, f"(SELECT source, lang, topic, n, w * {share} AS w FROM {last})"
+    for s in range(sweeps):
+        for dim in DIMS:
+            name = f"b{s}_{dim}"
+            parts.append(f"""{name} AS MATERIALIZED (SELECT source, lang, topic, n, CASE WHEN whole THEN greatest(w, n)
+              WHEN filled >= take AND filled > 0 THEN w * take / (filled + room) WHEN room > 0 THEN w * greatest(take - filled, 0) / room ELSE w END AS w
+              FROM (SELECT *, sum(CASE WHEN w >= n THEN n ELSE 0 END) OVER p AS filled, sum(CASE WHEN w >= n THEN 0 ELSE w END) OVER p AS room FROM {last} WINDOW p AS (PARTITION BY {dim})) JOIN (SELECT {dim}, take, whole FROM g_{dim}) USING ({dim}))""")
+            last = name
+    parts.append(_level("s", f"(SELECT n, w / n AS weight FROM {last}), t", f"{share} * total"))
+    parts.append(f"f AS (SELECT source, lang, topic, x.w / x.n AS weight, least(y.w / y.n * scale, 1.0) AS probability FROM {fitted} x JOIN {last} y USING (source, lang, topic), s)")
     u = "CAST(('0x' || substr(md5(CAST(coalesce(doc_id, -1) AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
     return "WITH " + ",\n".join(parts) + f"""
     SELECT doc_id, source, lang, topic, tokens, round(CASE WHEN tokens = 0 THEN 1.0 ELSE weight END, 6) AS weight,
       round(CASE WHEN tokens = 0 THEN 1.0 ELSE probability END, 6) AS probability, {u} < CASE WHEN tokens = 0 THEN 1.0 ELSE probability END AS sampled
     FROM d LEFT JOIN f USING (source, lang, topic)"""
+
+
+def _level(name: str, cells: str, want: str) -> str:
+    """SQL of a table with the factor at which n * min(1, factor * weight) sums to ``want``."""
+    return f"""{name}_o AS MATERIALIZED (SELECT weight, ({want} - coalesce(sum(n) OVER (ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(n * weight) OVER (ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM {cells}),
+    {name} AS MATERIALIZED (SELECT arg_max(scale, weight) AS scale FROM {name}_o WHERE scale * weight < 1)"""
