@@ -1,10 +1,13 @@
 """Personal data: pattern spans, then information-theoretic sanitisation of what reveals them.
 
-DataFrame operations only. A protected entity is a value that the patterns find. A term of its text
-discloses it as far as corpus co-occurrence says so: with p the share of distinct texts, the term's
-pointwise mutual information with the entity, log p(e,t)/(p(e)p(t)), is set against the entity's
-information content, -log p(e). Terms at or above ``alpha`` of it (1: seeing the term gives the entity
-away), seen together in at least ``support`` distinct texts, become spans of kind ``term``.
+DataFrame operations only. Protected entities are what the patterns find, at three levels: the value, what it
+is part of (an email's domain, an address's network, a card's issuer, a phone's area) and its kind; strings of
+32 and more letters and digits are protected as ``secret``. Corpus co-occurrence says how far a term discloses
+an entity: with p the share of distinct texts, the term's pointwise mutual information with the entity,
+log p(e,t)/(p(e)p(t)), is set against the entity's information content, -log p(e). Terms at or above ``alpha``
+of it (1: seeing the term gives the entity away) become spans of kind ``term`` in the texts that hold the
+entity, if at least ``support`` distinct texts show both and that many meetings are no chance: p(e) to their
+number is at most 1/N^2 for N texts.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the method adds.
+ADDED = ("secret", "term")
 #: Leftmost non-overlapping matches of the plain patterns, made linear: a run is entered at its first
 #: character (or where the last match ended) and never given back.
 PATTERNS = {
@@ -22,17 +27,26 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{32,}+",
 }
 #: What a text must hold for a kind's pattern to be tried at all.
-GATES = {"email": "instr(_t, '@') > 0", "ip": r"_t RLIKE r'[0-9][.][0-9]'", "card": r"_t RLIKE r'[0-9](?:[ -]?[0-9]){13}'", "phone": r"instr(_t, '+') > 0 AND _t RLIKE r'[+][0-9]'"}
+GATES = {"email": "instr(_t, '@') > 0", "ip": r"_t RLIKE r'[0-9][.][0-9]'", "card": r"_t RLIKE r'[0-9](?:[ -]?[0-9]){13}'", "phone": r"instr(_t, '+') > 0 AND _t RLIKE r'[+][0-9]'", "secret": "_t RLIKE r'[A-Za-z0-9_]{32}'"}
 VALID = {
     "email": "true",
     "ip": "forall(split(x.value, '[.]'), p -> length(ltrim('0', p)) <= 3 AND cast(concat('0', right(ltrim('0', p), 3)) as int) <= 255)",
     "card": "length(translate(x.value, ' -', '')) BETWEEN 14 AND 19 AND luhn_check(translate(x.value, ' -', ''))",
     "phone": "length(regexp_replace(x.value, '[^0-9]', '')) BETWEEN 10 AND 15",
+    "secret": "true",
 }
+_DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
+#: What stands for a value, and what it is part of (null: nothing).
+VALUE = f"CASE WHEN s.kind IN ('card', 'phone') THEN {_DIGITS} ELSE lower(s.value) END"
+GROUP = f"CASE s.kind WHEN 'email' THEN lower(substring_index(s.value, '@', -1)) WHEN 'ip' THEN substring_index(s.value, '.', 3) WHEN 'card' THEN left({_DIGITS}, 6) WHEN 'phone' THEN left({_DIGITS}, length({_DIGITS}) - 7) END"
+ENTITIES = f"array_distinct(flatten(transform(spans, s -> array_compact(array(xxhash64('value', s.kind, {VALUE}), CASE WHEN s.kind <> 'secret' THEN xxhash64('group', s.kind, {GROUP}) END, xxhash64('kind', s.kind))))))"
 TERM = r"\p{L}{4,}"
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
+#: One in so many texts without identifiers is counted beforehand: a bound that rules out common words.
+AHEAD = 16
 _B = 64
 
 
@@ -53,79 +67,107 @@ def located(text: Column, pattern: str, gate: Column | None = None) -> list[tupl
     ]
 
 
+def _masked(text: Column) -> Column:
+    """The text with what identifiers have of letters blanked, code point for code point."""
+    cut = F.lit(f"{PATTERNS['email']}|{PATTERNS['secret']}")
+    found = F.regexp_extract_all(text, cut, F.lit(0))
+    blanks = F.concat(F.transform(found, lambda v: F.repeat(F.lit(" "), F.length(v))), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, f"{PATTERNS['email']}|{PATTERNS['secret']}", -1), blanks, lambda a, b: F.concat(a, b)), "")
+
+
+def _hash(value: Column) -> Column:
+    return F.xxhash64(F.lower(value))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, _text_key, spans) with spans: array<struct<start, kind_no, end, kind, value>>, sorted."""
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_row", F.monotonically_increasing_id())
-    for n, kind in enumerate(KINDS):
+    """(doc_id, _key, spans, _t, _terms) with spans: array<struct<start, kind_no, end, kind, value>>, sorted; _key
+    names the text; rows with spans keep the text and the hashes of its terms."""
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    kinds = (*KINDS, ADDED[0])
+    for n, kind in enumerate(kinds):
         for name, column in located(F.col("_t"), PATTERNS[kind], F.expr(GATES[kind])):
             rows = rows.withColumn(name, column)
         rows = rows.withColumn(f"_{kind}", F.expr(f"transform(filter(_found, x -> {VALID[kind]}), x -> named_struct('start', x.start, 'kind_no', {n}, 'end', x.end, 'kind', '{kind}', 'value', x.value))")).drop("_values", "_pieces", "_steps", "_blocks", "_found")
-    spans = f"array_sort(concat({', '.join('_' + k for k in KINDS)}))"
-    rows = rows.withColumn("_spans", F.expr(spans))
-    return rows.select("doc_id", "_row", F.expr("CASE WHEN size(_spans) > 0 THEN xxhash64(_t) END").alias("_text_key"), F.col("_spans").alias("spans"))
+    spans = f"array_sort(concat({', '.join('_' + k for k in kinds)}))"
+    rows = rows.withColumn("spans", F.expr(spans)).withColumn("_key", F.xxhash64("_t"))
+    some = F.size("spans") > 0
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(_masked(F.col("_t")), F.lit(TERM), F.lit(0)), _hash))
+    return rows.select("doc_id", "_key", "spans", F.when(some, F.col("_t")).alias("_t"), F.when(some, terms).alias("_terms"))
 
 
-def _reveals(texts: int, alpha: float) -> Column:
-    """Over n_et, n_e, n_t: whether the term's information about the entity is alpha of the entity's own."""
-    n = F.lit(float(max(texts, 1)))
-    content = -F.log(F.col("n_e") / n)
-    return (content > 0) & (F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) >= alpha * content)
+def _content(texts: int) -> Column:
+    return -F.log(F.col("n_e") / F.lit(float(max(texts, 1))))
 
 
-def _entity() -> Column:
-    return F.expr("xxhash64(kind, CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '') ELSE lower(value) END)")
+def _reveals(texts: int, alpha: float) -> Column:
+    """Over n_et, n_e, n_t: whether the term's information about the entity is alpha of the entity's own."""
+    content = _content(texts)
+    return (content > 0) & (F.log(F.col("n_et") * F.lit(float(max(texts, 1))) / (F.col("n_e") * F.col("n_t"))) >= alpha * content - 1e-9)
+
+
+def _few(table: DataFrame, tag: str) -> DataFrame:
+    """Written out, and broadcast where its counted rows are few."""
+    table = materialize(table, tag)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _disclosing(docs: DataFrame, held: DataFrame, texts: int, alpha: float, support: int) -> DataFrame:
+    """(_e, term): hashes of the terms that disclose an entity, from held texts (_key, _ents, _terms)."""
+    n_e = held.select(F.explode("_ents").alias("_e")).groupBy("_e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    known = _few(n_e, "entities")
+    # rare entities go first: most values are in one text only
+    pairs = held.select("_key", "_terms", F.explode("_ents").alias("_e")).join(known, "_e").select("_e", "n_e", F.explode("_terms").alias("term"))
+    together = pairs.groupBy("_e", "term").agg(F.first("n_e").alias("n_e"), F.count("*").alias("n_et"))
+    together = materialize(together.where((F.col("n_et") >= support) & (F.col("n_et") * _content(texts) >= 2 * F.log(F.lit(float(max(texts, 2)))))), "together")
+    if together.isEmpty():
+        return together.select("_e", "term")
+    # any part of the corpus bounds a term's texts from below, which rules out all common words
+    whole = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).where("_t != ''").select(F.xxhash64("_t").alias("_key"), "_t")
+    words = F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(TERM), F.lit(0)), _hash))
+    some = together.select("term").distinct()
+    ahead = whole.where(F.pmod("_key", F.lit(AHEAD)) == 0).select("_key", F.explode(words).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_a"))
+    least = held.select("_key", F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    bound = some.join(least, "term").join(ahead, "term", "left").select("term", F.greatest("n_t", F.coalesce("n_a", F.lit(0))).alias("n_t"))
+    together = materialize(together.join(bound, "term").where(_reveals(texts, alpha)).drop("n_t"), "together")
+    terms = _few(together.select("term").distinct(), "candidates")
+    seen = whole.select("_key", F.explode(words).alias("term")).join(terms, "term", "left_semi").distinct()
+    n_t = seen.groupBy("term").agg(F.count("*").alias("n_t"))
+    return together.join(n_t, "term").where(_reveals(texts, alpha)).select("_e", "term")
 
 
 def personal_data(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
-    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base, spans), one for each row of docs.
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, n_spans, base, spans), one for each row of docs.
 
     ``base`` and ``spans`` are arrays of (start, end, kind) in code points, end exclusive, by start and then
-    kind as listed (term last); ``spans`` adds disclosing terms. Terms are runs of four or more letters
-    anywhere in a text that holds the entity, at every place there, and never overlap a base span. An entity
-    in fewer than ``support`` distinct texts has none. Null texts count as empty: no spans. Repeated rows stay and add nothing to the counts,
-    which are over distinct texts; an empty table gives no rows; other columns are ignored.
+    kind as listed (secret, term last); ``spans`` adds secrets and disclosing terms. Terms are runs of four or
+    more letters, case aside, in what emails and secrets leave of a text, at every place. An entity in fewer
+    than ``support`` distinct texts has none. Null texts count as empty: no spans. Repeated rows stay and add
+    nothing to the counts, which are over distinct texts; an empty table gives no rows; other columns are
+    ignored.
     """
     found = materialize(base_spans(docs), "spans")
-    whole = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k")).distinct().count()
-    # no term is with an entity in more texts than the entity itself: entities of fewer texts can't have one
-    holds = found.select("_text_key", F.explode("spans").alias("s")).select("_text_key", "s.*").select("_text_key", _entity().alias("_e")).distinct()
-    holds = materialize(holds.join(holds.groupBy("_e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "_e"), "holds")
-    keys = holds.select("_text_key").distinct()
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).where("_t != ''")
-    covered = found.select("_text_key", F.expr("transform(spans, x -> struct(x.start, x.end))").alias("_all")).join(keys, "_text_key", "left_semi").dropDuplicates(["_text_key"])
-    held = texts.select(F.xxhash64("_t").alias("_text_key"), "_t").join(keys, "_text_key", "left_semi").dropDuplicates(["_text_key"]).join(covered, "_text_key")
-    for name, column in located(F.col("_t"), TERM):
-        held = held.withColumn(name, column)
-    # written out before it is opened, so that the search runs once
-    held = materialize(held.select("_text_key", F.expr("filter(_found, x -> NOT exists(_all, a -> a.start < x.end AND x.start < a.end))").alias("_found")), "terms")
-    spots = held.select("_text_key", F.explode("_found").alias("f")).select("_text_key", F.lower("f.value").alias("term"), "f.start", "f.end")
-    spots = materialize(spots.groupBy("_text_key", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "spots")  # bounded by one text
-
-    # a term is in at least the texts that it was seen in with any entity: a bound that already rules out
-    # common words, so that few pairs are made and few terms need a count over the whole corpus
-    at_least = spots.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
-    n = F.lit(float(max(whole, 1)))
-    pairs = holds.join(spots.select("_text_key", "term").join(at_least, "term"), "_text_key").where(F.col("n_t") <= n * F.pow(F.col("n_e") / n, F.lit(alpha)) * (1 + 1e-9))
-    together = pairs.groupBy("_e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_et") >= support)
-    together = materialize(together.where(_reveals(whole, alpha)).drop("n_t"), "together")
-    terms = together.select("term").distinct()
-    if terms.count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
-    seen = texts.select(F.xxhash64("_t").alias("_text_key"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).join(terms, "term", "left_semi")
-    n_t = seen.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    reveals = together.join(n_t, "term").where(_reveals(whole, alpha)).select("_e", "term")
-    marked = holds.join(reveals, "_e").select("_text_key", "term").distinct().join(spots, ["_text_key", "term"]).select("_text_key", F.explode("places").alias("p"))
-    marked = marked.groupBy("_text_key").agg(F.collect_list(F.struct("p.start", F.lit(len(KINDS)).alias("kind_no"), "p.end", F.lit("term").alias("kind"))).alias("_terms"))  # bounded by one text
-    base = F.expr("transform(spans, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind))")
-    # rows without spans have no key: they would all meet in one task of the join
-    out = found.where("_text_key IS NOT NULL").join(marked, "_text_key", "left").unionByName(found.where("_text_key IS NULL"), allowMissingColumns=True).withColumn("_base", base)
+    texts = found.select("_key").distinct().count()
+    held = materialize(found.where("_t is not null").dropDuplicates(["_key"]).select("_key", F.expr(ENTITIES).alias("_ents"), "_terms"), "held")
+    reveals = materialize(_disclosing(docs, held, texts, alpha, support), "reveals")
+    # a term's entities share its texts, so they are few
+    by_term = _few(reveals.groupBy("term").agg(F.collect_set("_e").alias("_es")), "terms")
+    marked = held.select("_key", "_ents", F.explode("_terms").alias("term")).join(by_term, "term").where(F.arrays_overlap("_ents", "_es"))
+    marked = _few(marked.groupBy("_key").agg(F.collect_set("term").alias("_marks")), "marked")  # bounded by one text
+    # rows without spans have nothing to be joined
+    out = found.where("_t is not null").join(marked, "_key", "left").withColumn("_t", F.when(F.col("_marks").isNotNull(), F.col("_t")))
+    out = out.withColumn("_m", _masked(F.col("_t")))
+    for name, column in located(F.col("_m"), TERM, F.col("_m").isNotNull()):
+        out = out.withColumn(name, column)
+    kinds = len(KINDS)
+    out = out.withColumn("_marked", F.expr(f"transform(filter(_found, x -> array_contains(_marks, xxhash64(lower(x.value)))), x -> named_struct('start', x.start, 'kind_no', {kinds + 1}, 'end', x.end, 'kind', '{ADDED[1]}'))"))
+    out = out.select("doc_id", "spans", "_marked").unionByName(found.where("_t is null").select("doc_id", "spans"), allowMissingColumns=True)
     plain = "transform({}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))"
+    out = out.withColumn("_all", F.expr("transform(spans, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind))"))
+    out = out.withColumn("_all", F.expr("CASE WHEN size(_marked) > 0 THEN array_sort(concat(_all, _marked)) ELSE _all END"))
     return out.select(
-        "doc_id", *[F.expr(f"cast(size(filter(_base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS],
-        F.expr(plain.format("_base")).alias("base"),
-        F.expr(plain.format("CASE WHEN _terms IS NULL THEN _base ELSE array_sort(concat(_base, _terms)) END")).alias("spans"),
+        "doc_id", *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS], F.size("_all").cast("long").alias("n_spans"),
+        F.expr(plain.format(f"filter(spans, s -> s.kind_no < {kinds})")).alias("base"),
+        F.expr(plain.format("_all")).alias("spans"),
     )
 
 
