@@ -9,8 +9,9 @@ from .common import table
 
 SHARDS = 24
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Pages of hosts whose first label is this make the list of blocked canonical urls.
-LISTED_LABEL = "spam-farm"
+#: Pages of hosts with one of these labels make the list of blocked canonical urls. They lie under several
+#: top-level domains, so that at every scale some are under none of the rules and the list decides.
+LISTED_LABELS = ("spam-farm", "casino-win", "ads-track", "free-bets", "cheap-pills", "adult-x")
 
 
 def op1_kdtree_sharding(spark, sf_dir):
@@ -49,7 +50,7 @@ def op8_pruned_graph_search(spark, sf_dir):
 
 def op9_bloom_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = urlfilter.with_parts(pages.select(F.col("url").alias("_url"))).where(F.split("host", "[.]")[0] == LISTED_LABEL).select("canonical")
+    listed = urlfilter.with_parts(pages.select(F.col("url").alias("_url"))).where(F.arrays_overlap(F.split("host", "[.]"), F.array(*map(F.lit, LISTED_LABELS)))).select("canonical")
     return urlfilter.filter_urls(pages, URL_RULES, listed)
 
 
@@ -68,7 +69,7 @@ c AS (SELECT *, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path,
 rules(verdict, rhost, rpath) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
 best AS (SELECT r, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(verdict, length(rhost || rpath) * 1000 + length(rhost)) AS verdict
   FROM c, rules WHERE host <> '' AND (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r),
-listed AS (SELECT DISTINCT canonical FROM c WHERE split_part(host, '.', 1) = '{LISTED_LABEL}')
+listed AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), {list(LISTED_LABELS)}))
 SELECT page_id, host, path, best.rule, coalesce(best.verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN best USING (r) LEFT JOIN listed USING (canonical)
 """
