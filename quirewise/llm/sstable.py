@@ -288,6 +288,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def width_for(path: str, end_id: int, width: int | None = None) -> int:
+    """Bytes that hold every id of a tokenizers file and the end id."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    width = width or (2 if most < 1 << 16 else 4)
+    if most >= 1 << 8 * width:
+        raise ValueError(f"ids up to {most} do not fit {width} bytes")
+    return width
+
+
 def _text_bytes(docs: DataFrame) -> int:
     """About the bytes of text, from the size of the files that are read where Spark knows it, else counted."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -296,15 +307,18 @@ def _text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20, width: int = 2) -> list:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20, width: int | None = None) -> list:
     """Encode ``docs`` (doc_id, text; null text is empty) and write shards in ascending doc_id order.
 
     Rows are range-partitioned by (doc_id, a hash of the text), so a repeated id can be split; each
-    partition streams to files of about ``shard_bytes``. A file's name holds its task attempt: only files
+    partition streams to files of about ``shard_bytes``. Rows of one id go by that hash, so their order is
+    fixed. ``width`` is the bytes of an id: by default 2, or 4 where the vocabulary needs them; too narrow a
+    one is refused. A file's name holds its task attempt: only files
     in the returned manifest count, so a retried task leaves no wrong rows. Repeated ids keep all rows.
     Returns rows (part, seq, path, n_docs, n_tokens, min_id, max_id), one a file, in key order.
     """
     small_batches(docs.sparkSession)
+    width = width_for(tokenizer_path(tokenizer), end_id, width)
     n = max(1, -(-_text_bytes(docs) // (2 * shard_bytes)), docs.sparkSession.sparkContext.defaultParallelism)
 
     def write(batches):
@@ -336,7 +350,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             files[-1] += [seq, writer.entries, writer.tokens, last]
         yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "seq": s, "path": f"{base}/{f}", "n_docs": d, "n_tokens": t, "min_id": a, "max_id": b} for f, a, s, d, t, b in files], schema=_MANIFEST)
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = ranged.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long, min_id long, max_id long").collect()  # a row a file
     return sorted(rows, key=lambda r: (r["part"], r["seq"]))
 
