@@ -107,6 +107,45 @@ def test_license_fuzzy_and_odd_rows(spark):
     assert license_scan.license_notices(odd(spark, [])).count() == 0
 
 
+def brute_fuzzy(text):
+    """Labels of notices that some window of whole words is within the allowed edits of, telling words exact."""
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+    out = set()
+    for phrase, label in license_scan.NOTICES:
+        k, size, wanted = license_scan.allowed(phrase, 0.1), len(phrase.split()), [w.decode() for w in license_scan.telling(phrase)]
+        for i in range(len(words)):
+            for n in range(max(1, size - 2), size + 3):
+                window = words[i : i + n]
+                flat, row = " ".join(window), range(len(phrase) + 1)
+                if len(window) < n or abs(len(flat) - len(phrase)) > k or not license_scan.holds(window, wanted):
+                    continue
+                for c in flat:
+                    new = [row[0] + 1]
+                    for j, p in enumerate(phrase):
+                        new.append(min(row[j] + (c != p), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                if row[-1] <= k:
+                    out.add(label)
+    return out
+
+
+def test_license_labels_match_brute_force():
+    rng = np.random.default_rng(5)
+    scanner, found = license_scan.Scanner(), 0
+    for phrase, _ in license_scan.NOTICES * 12:
+        text = list(phrase)
+        for _ in range(rng.integers(0, license_scan.allowed(phrase, 0.1) + 2)):
+            at = rng.integers(0, len(text))
+            text[at : at + rng.integers(0, 2)] = [str(rng.choice(list("abcdefgh")))] * rng.integers(0, 2)
+        text = f"some words before {''.join(text)} and words after"
+        got = {s["label"] for s in scanner.scan(text)[3]}
+        assert got == brute_fuzzy(text), text
+        found += bool(got)
+    assert found > 80
+    for text in ("licensed under cc by nd", "gnu general public license version 1", "apache license version 1 0", "mozilla public license version 1 1", "all rights preserved", "gnu general public license version"):
+        assert scanner.scan(f"x {text} y")[2:] == (set(), []), text
+
+
 # 3 quality
 def test_quality_on_held_out_rows(spark, sf_dir, duck):
     rows = queries.op3_quality_classifier(spark, sf_dir).collect()
@@ -127,6 +166,8 @@ def test_quality_odd_rows(spark):
     model = quality.fit(train, labels)
     rows = quality.score_quality(odd(spark), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    alone = {d: model.score(t or "") for d, t, *_ in ODD if d is not None}
+    assert all(abs(r["score"] - alone[r["doc_id"]]) < 1e-9 for r in rows if r["doc_id"] is not None)
     assert model.score("clean prose") > 0.5 > model.score("now $$$ %%%")
     assert quality.score_quality(odd(spark, []), model).count() == 0
     assert 0 <= quality.fit(train, labels.where("doc_id < 0")).score("x") <= 1
@@ -160,9 +201,10 @@ def test_contamination_of_changed_values(spark):
     broken = item.replace("12 of", "99 of")
     rows = [*ODD, (60, "Intro words, " + item + " end.", "en", "a", 1), (61, "Other text; then " + swapped + " end", "en", "a", 1), (62, "We know " + broken, "en", "a", 1), (63, "apples and 5 km later she gave", "en", "a", 1)]
     got = {r["doc_id"]: r for r in decontaminate.contaminated(odd(spark, rows), bench).collect()}
-    assert set(got) == {60, 61} and got[60]["exact"] and not got[61]["exact"]
+    # 62 has one number that conflicts, but 14 words before and 14 after it are the item's
+    assert set(got) == {60, 61, 62} and got[60]["exact"] and not got[61]["exact"] and got[62]["words"] == 14
     left = decontaminate.clean(odd(spark, rows), bench)
-    assert left.columns == odd(spark).columns and left.count() == len(rows) - 2
+    assert left.columns == odd(spark).columns and left.count() == len(rows) - 3
     assert decontaminate.contaminated(odd(spark, []), bench).count() == 0
     assert decontaminate.contaminated(odd(spark, rows), bench.where("item_id < 0")).count() == 0
 
@@ -178,6 +220,77 @@ def test_contamination_of_number_heavy_short_and_recased_items(spark):
     assert got == {(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, True), (5, 4, True), (6, 2, False)}
 
 
+def test_clean_goes_by_rows(spark):
+    item = "a bench passage of many plain words that nobody would write twice by chance in other texts"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"x {item} y"), (None, "clean text without an id"), (5, f"{item} again"), (5, "a clean text that shares the id"), (5, "a clean text that shares the id"), (6, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _key string").repartition(2)
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r[0] or 0, r[1] or "") for r in left.collect()) == sorted((d or 0, t or "") for d, t in rows if item not in (t or ""))
+
+
+def template_copies(item, rng):
+    """The item with other numbers and names, one to one; and with a conflict in the middle."""
+    values = {w: str(rng.integers(100, 999)) for w in item.split() if w.isdigit()}
+    return " ".join(values.get(w, w) for w in item.split())
+
+
+def test_contamination_of_templates_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("ad", "em", "il", "on", "ur", "ath", "esk")]
+    items = [" ".join(str(rng.integers(10, 99)) if rng.random() < 0.2 else str(rng.choice(vocabulary)) for _ in range(rng.integers(15, 30))) for _ in range(40)]
+    noise = lambda n: " ".join(rng.choice(vocabulary, n))
+    texts = []
+    for i, item in enumerate(items):
+        w = item.split()
+        texts += [f"{noise(20)} {item} {noise(9)}", f"{noise(5)} {template_copies(item, rng)}", f"{noise(8)} {' '.join(w[:9])} {noise(8)}", noise(40)]
+        w[len(w) // 2] = "12345" if w[len(w) // 2].isdigit() else "zzz"
+        texts.append(" ".join(w))
+
+    def brute(item, text):
+        """Whether a run on some diagonal counts: all its 8-word windows whose words or templates (3 literals at
+        least) agree, with values one to one in one of the readings; or a stretch of plain windows."""
+        a, b = item.split(), text.split()
+        t = lambda w: "#" if w.isdigit() else w
+        fit = sum(sum(not x.isdigit() for x in a[i : i + 8]) >= 3 for i in range(len(a) - 7))
+        for shift in range(-len(a) + 8, len(b) - 7):
+            plain, form, pairs = [], [], {True: set(), False: set()}
+            for i in range(max(0, -shift), min(len(a), len(b) - shift) - 7):
+                x, y = a[i : i + 8], b[i + shift : i + shift + 8]
+                slots = sum(w.isdigit() for w in x)
+                if x == y:
+                    plain.append(i)
+                    pairs[True] |= {(v, v) for v in x if v.isdigit()}
+                if slots and slots <= 5 and [*map(t, x)] == [*map(t, y)]:
+                    form.append(i)
+                    pairs[False] |= {(v, u) for v, u in zip(x, y) if v.isdigit()}
+            whole = [i for i in plain if not any(w.isdigit() for w in a[i : i + 8])]
+            agrees = lambda m: len(m) == len({v for v, _ in m}) == len({u for _, u in m})
+            ways = [(set(plain) | set(form), pairs[True] | pairs[False]), (set(form) | set(whole), pairs[False])]
+            got = next((w for w in ways if agrees(w[1])), None)
+            if got is None:
+                best = run = 0
+                for k, i in enumerate(plain):
+                    run = run + 1 if k and plain[k - 1] == i - 1 else 1
+                    best = max(best, run)
+                got = (range(best), set())
+            n, m = len(got[0]), got[1]
+            if not n:
+                continue
+            share = n / (len(a) - 7)
+            if not all(v == u for v, u in m):
+                share = max(share, min(1, min(n, len(set(form) | set(whole))) / max(fit, 1)))
+            if n + 7 >= 13 or share >= 0.8:
+                return True
+        return False
+
+    want = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if brute(item, text)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == want and {(5 * i + 1, i) for i in range(40)} <= want
+
+
 # 5 mixing
 def test_raking_meets_margins(spark, sf_dir):
     rows = raking.rake(docs_of(spark, sf_dir)).toPandas()
@@ -188,6 +301,16 @@ def test_raking_meets_margins(spark, sf_dir):
         raked = (rows.weight * rows.tokens).groupby(rows[dim]).sum() / total
         assert (abs(raked - want) < 1e-3).all()
     assert abs((rows.probability * rows.tokens).sum() / total - 0.8) < 1e-6
+    for dim in ("source", "lang", "topic"):  # the draw: at the target, or whole, and then the others share the rest
+        own = rows.groupby(dim).tokens.sum() / total
+        own = own[own > 0]
+        take, goal = own * 0, own**0.7
+        while abs(take.sum() - 0.8) > 1e-12:
+            free = take < own
+            rest = 0.8 - take[~free].sum()
+            take[free] = np.minimum(own[free], rest * goal[free] / goal[free].sum())
+        drawn = (rows.probability * rows.tokens).groupby(rows[dim]).sum() / total
+        assert (abs(drawn[own.index] - take) < 2e-3).all(), (dim, drawn, take)
     assert abs(rows.sampled.mean() - rows.probability.mean()) < 0.05
 
 
@@ -344,6 +467,64 @@ def test_disclosing_terms_of_the_whole_text(spark):
     assert not got[50]["spans"]
 
 
+def brute_disclosed(texts, alpha=0.9, support=3):
+    """All spans of each text, by counting everything."""
+    import regex
+
+    email, secret = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*[0-9])(?=[0-9_]*[A-Za-z])[A-Za-z0-9_]{32,}"
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    spans, ents, terms = {}, collections.defaultdict(set), {}
+    for t in set(texts):
+        own = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_pii(t)[-1].split(",") if x)]
+        own += [("secret", *m.span()) for m in re.finditer(secret, t)]
+        spans[t] = own
+        for k, a, b in own:
+            v = t[a:b]
+            value = digits(v) if k in ("card", "phone") else v.lower()
+            group = {"email": v.rpartition("@")[2].lower(), "ip": v.rpartition(".")[0], "card": digits(v)[:6], "phone": digits(v)[:-7], "secret": None}[k]
+            for e in [("value", k, value), ("kind", k)] + ([("group", k, group)] if group is not None else []):
+                ents[e].add(t)
+        masked = re.sub(f"{email}|{secret}", lambda m: " " * len(m[0]), t)
+        terms[t] = [(m.span(), m[0].lower()) for m in regex.finditer(r"\p{L}{4,}", masked)]
+    n, n_t, meet = len(spans), collections.Counter(), collections.Counter()
+    for t in spans:
+        n_t.update({m[0].lower() for m in regex.finditer(r"\p{L}{4,}", t)})
+    for e, own in ents.items():
+        meet.update((e, w) for t in own for w in {w for _, w in terms[t]})
+    good = collections.defaultdict(set)
+    for (e, w), n_et in meet.items():
+        n_e = len(ents[e])
+        content = math.log(n / n_e)
+        if n_et >= support and content > 0 and n_et * content >= 2 * math.log(n) and math.log(n_et * n / (n_e * n_t[w])) >= alpha * content - 1e-9:
+            good[e].add(w)
+    order = [*disclosure.KINDS, *disclosure.ADDED]
+    return {t: sorted(spans[t] + [("term", *at) for at, w in terms[t] if any(w in good[e] and t in ents[e] for e in ents)], key=lambda s: (s[1], order.index(s[0]))) for t in spans}
+
+
+def test_disclosure_matches_brute_force(spark, sf_dir, texts):
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("bolt", "carm", "dune", "fern") for b in ("ish", "ado", "ent", "ora", "ulp", "\u0130stan", "ümel")]
+    made = []
+    for i in range(120):
+        w = list(rng.choice(words, 6))
+        if i % 6 == 0:
+            w += ["Writeto", f"user{i}@corp{i % 12}.example.com"]
+        if i % 10 == 0:
+            w += ["secretly", "%040x" % (7919**9 + i)]
+        if i % 8 == 0:
+            w += [f"10.1.{i % 16}.{i}", "hostname", "\u0130\u0130\u0130 zorb"]
+        made.append(" ".join(w))
+    made += [made[0], "\u0130\u0130\u0130\u0130 zorbanite a0 joe@corp.example", "no data Writeto hostname"]
+    for group in (made, [t for _, t in texts]):
+        docs = spark.createDataFrame(list(enumerate(group)), "doc_id long, text string").repartition(3)
+        want = brute_disclosed(group)
+        for r in disclosure.personal_data(docs).collect():
+            assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == want[group[r["doc_id"]]], group[r["doc_id"]]
+            assert r["n_spans"] == len(r["spans"])
+        assert any(s[0] == "term" for x in want.values() for s in x)
+    assert not want[next(t for _, t in texts if not want[t])]
+
+
 # 8 nearest neighbours
 def test_nearest_recall_and_scores(spark, sf_dir, duck):
     rows = queries.op8_pruned_graph_search(spark, sf_dir).collect()
@@ -414,9 +595,10 @@ def brute_url(url, listed):
 def test_url_filter_matches_brute_force(spark, sf_dir, duck):
     rows = queries.op9_bloom_url_filter(spark, sf_dir).collect()
     pages = dict(duck.execute("SELECT page_id, url FROM pages").fetchall())
-    spam = {u for u in pages.values() if u.split("://")[1].startswith("spam-farm.")}
+    spam = {u for u in pages.values() if set(u.split("://")[1].split("/")[0].lower().split(".")) & set(queries.LISTED_LABELS)}
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
     assert got == {p: brute_url(u, spam) for p, u in pages.items()} and len(rows) == len(pages)
+    assert spam and any(rule is None and verdict == "block" for _, _, rule, verdict in got.values())
 
 
 def test_url_filter_odd_rows(spark):
@@ -453,7 +635,6 @@ def test_token_shards_round_trip(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(sstable.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start, want = 0, {}
     for d, text in sorted(texts):
         ids = t.encode(text, add_special_tokens=False).ids + [2]
@@ -497,6 +678,16 @@ def test_added_tokens_as_the_library_encodes_them():
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [437, 50256, 9688]
 
 
+def test_ids_wider_than_their_bytes_are_refused(spark, tmp_path):
+    path = sstable.tokenizer_path("byte_bpe_50k.json")
+    assert sstable.width_for(path, 2) == 2 and sstable.width_for(path, 70_000) == 4
+    with pytest.raises(ValueError):
+        sstable.width_for(path, 70_000, 2)
+    docs = spark.createDataFrame([(7, "one"), (7, "two"), (7, "three"), (7, "two")], "doc_id long, text string")
+    orders = [[(r["ids_crc32"], r["start"]) for r in sstable.token_shards(docs.repartition(n), end_id=70_000, folder=f"file://{tmp_path}/{n}").orderBy("start").collect()] for n in (1, 3)]
+    assert orders[0] == orders[1]
+
+
 def test_shard_file_search():
     sink = io.BytesIO()
     sink.close_ = sink.close
