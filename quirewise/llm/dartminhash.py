@@ -7,10 +7,10 @@ to their weighted Jaccard similarity, sum of minima over sum of maxima. Only abo
 are thrown, however long it is.
 
 Bands of coordinates are joined by their hash. In a bucket, members are compared with its least member
-first (a star, not all pairs) and checked exactly. Buckets that still hold several parts are searched in
-tiles: signatures alone say which members may be alike, only their shingle sets are moved, and only links
-that join two parts go out; large ones are parted by a further band before. Classes are connected components
-of the links, found by label propagation over the link table.
+first (a star, not all pairs) and checked exactly. In buckets that still hold several parts, what is not of
+the largest part is compared with all in tiles: signatures alone say which members may be alike, only their
+shingle sets are moved, and only links that join two parts go out. Classes are connected components of the
+links, found by label propagation over the link table.
 """
 
 from __future__ import annotations
@@ -29,9 +29,7 @@ BANDS, ROWS = 36, 6
 K = BANDS * ROWS
 #: Pairs whose signatures agree on less than this share are not checked (0.8 is 4 standard errors away).
 SCREEN = 0.69
-TILE = 512
-#: Times that buckets of more members than a tile are parted by a further band.
-DEPTH = 2
+TILE = 1024
 #: Up to so many names of candidates (8 bytes each) are broadcast to the sketches; more are shuffled.
 BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,12 +127,6 @@ def units_of(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (mix64(np.repeat(elements, counts) + copy.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of units."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
-
-
 def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, rep, sig, sets, bands) of each (doc_id, key, text): rep names the word sequence; sig has a byte a
     coordinate, which is enough to screen; sets the 32-bit units of the shingles; bands their 64-bit hashes.
@@ -196,103 +188,91 @@ class _Parts:
         self.up[max(i, j)] = min(i, j)
 
 
-def _suspects():
-    """The rows of a tile of one bucket whose signature agrees with that of a row of another part."""
+def _sides(pdf):
+    """A tile's members once each, and the positions of its two sides among them."""
+    members = pdf.drop_duplicates("rep").reset_index(drop=True)
+    place = {r: i for i, r in enumerate(members["rep"])}
+    return members, *(np.unique([place[r] for r in pdf.loc[pdf["side"] == n, "rep"]]).astype(np.int64) for n in (0, 1))
 
-    def run(key, pdf):
-        pdf = pdf.drop_duplicates("rep").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        _, part = np.unique(pdf["linked"].to_numpy(), return_inverse=True)
-        block = pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        found = np.zeros(len(pdf), bool)
-        for i in left:
-            other = right[part[right] != part[i]]
-            near = other[(sig[other] == sig[i]).mean(1) >= SCREEN]
-            found[near] = True
-            found[i] |= len(near) > 0
-        return pdf.loc[found, ["key", "x", "y", "rep", "block", "linked"]]
 
-    return run
+def _suspects(key, pdf):
+    """The rows of a tile of one bucket whose signature agrees with that of a row of another part."""
+    members, left, right = _sides(pdf)
+    sig = np.frombuffer(b"".join(members["sig"]), np.uint8).reshape(len(members), -1)
+    _, part = np.unique(members["linked"].to_numpy(), return_inverse=True)
+    found = np.zeros(len(members), bool)
+    for i in left:
+        other = right[part[right] != part[i]]
+        near = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= SCREEN * sig.shape[1]]
+        found[near] = True
+        found[i] |= len(near) > 0
+    return pdf.loc[pdf["rep"].isin(set(members["rep"][found])), ["key", "x", "y", "rep", "side", "linked"]]
 
 
 def _tile(threshold: float):
-    """Links between the rows of one tile of one bucket that join two parts; most alike pairs first."""
+    """Links between the two sides of a tile of one bucket that join two parts; most alike pairs first."""
 
     def run(key, pdf):
         import pandas as pd
 
         drop_caches()
-        pdf = pdf.drop_duplicates("rep").reset_index(drop=True)
-        rep, block = pdf["rep"].to_numpy(), pdf["block"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        sets = [np.unique(x) for x in pdf["sets"]]
-        parts, links = _Parts(len(pdf)), []
+        members, left, right = _sides(pdf)
+        rep = members["rep"].to_numpy()
+        sig = np.frombuffer(b"".join(members["sig"]), np.uint8).reshape(len(members), -1)
+        sets = [np.unique(x) for x in members["sets"]]
+        parts, links = _Parts(len(members)), []
         star = {}
-        for i, label in enumerate(pdf["linked"].to_numpy()):  # what the stars joined already
+        for i, label in enumerate(members["linked"].to_numpy()):  # what the stars joined already
             parts.join(parts.find(i), parts.find(star.setdefault(label, i)))
-        left = np.flatnonzero(block == key[1])
-        right = np.flatnonzero(block == key[2])
-        for lo in range(0, len(left), 64):
-            mine = left[lo : lo + 64]
-            alike = np.empty((len(mine), len(right)), np.float32)
-            for r, i in enumerate(mine):
-                alike[r] = (sig[right] == sig[i]).mean(1)
-            x, y = np.nonzero(alike >= SCREEN)
-            for q in np.argsort(-alike[x, y], kind="stable"):
-                i, j = int(mine[x[q]]), int(right[y[q]])
-                if i != j and parts.find(i) != parts.find(j) and similarity(sets[i], sets[j]) >= threshold:
-                    parts.join(parts.find(i), parts.find(j))
-                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        size = np.array([len(x) for x in sets])
+        edge = np.concatenate([[0], np.cumsum(size)])
+        _, unit, owners = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # two sets share at most what others here have of either: most pairs need no look at their units
+        known = np.add.reduceat(owners[unit] > 1, edge[:-1]) if len(unit) else size
+        mark = np.zeros(len(owners), bool)
+        for i in left:
+            most = np.minimum(known[right], known[i])
+            agree = np.count_nonzero(sig[right] == sig[i], axis=1) / sig.shape[1]
+            near = np.flatnonzero((agree >= SCREEN) & (most / (size[right] + size[i] - most) >= threshold))
+            mark[unit[edge[i] : edge[i + 1]]] = True
+            for q in near[np.argsort(-agree[near], kind="stable")]:
+                j = int(right[q])
+                if i != j and parts.find(i) != parts.find(j):
+                    both = np.count_nonzero(mark[unit[edge[j] : edge[j + 1]]])
+                    if both / (size[i] + size[j] - both) >= threshold:
+                        parts.join(parts.find(i), parts.find(j))
+                        links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            mark[:] = False
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 def _divided(members: DataFrame) -> DataFrame:
-    """(key, members) of the buckets of (key, rep, linked) that hold several parts; of buckets with the same
-    members, known by two 64-bit sums, their number and their ends, one."""
+    """(key, _most, x_blocks, y_blocks) of the buckets of (key, rep, linked) that hold several parts: the largest
+    part and the tiles for the rest and for all. Of buckets with the same members, known by two 64-bit sums, their
+    number and their ends, one."""
     marks = [F.bit_xor(F.xxhash64("rep")).alias("m0"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m1"), F.min("rep").alias("m2"), F.max("rep").alias("m3")]
-    found = members.groupBy("key").agg(F.min("linked").alias("low"), F.max("linked").alias("high"), F.count("*").alias("members"), *marks).where("low != high")
-    return found.groupBy("members", "m0", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "members")
-
-
-def _members_of(hits: DataFrame, divided: DataFrame) -> DataFrame:
-    return hits.join(divided, "key").select("key", "rep", "linked", "members")
-
-
-def _refined(large: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, rep, linked): the members of large buckets in finer ones, each the members of one that agree in
-    another band as well."""
-    bands = words.select("rep", "bands").join(large.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    finer = large.select("key", "rep", "linked").join(bands, "rep").select("rep", "linked", F.col("key").alias("_key"), F.explode("bands").alias("_band")).where("_key != _band")
-    return finer.select(F.xxhash64("_key", "_band").alias("key"), "rep", "linked")
+    parts = members.groupBy("key", "linked").agg(F.count("*").alias("n"), *marks)
+    largest = F.max(F.struct("n", "linked")).alias("_largest")
+    found = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), largest, *[f(m).alias(m) for m, f in (("m0", F.bit_xor), ("m1", F.bit_xor), ("m2", F.min), ("m3", F.max))]).where("parts > 1")
+    found = found.groupBy("n", "m0", "m1", "m2", "m3").agg(F.min(F.struct("key", "_largest")).alias("_one"))
+    blocks = "cast(ceil(({}) / " + str(TILE) + ") as int)"
+    return found.select("_one.key", F.col("_one._largest.linked").alias("_most"), F.expr(blocks.format("n - _one._largest.n")).alias("x_blocks"), F.expr(blocks.format("n")).alias("y_blocks"))
 
 
-def _more_links(state: DataFrame, sketch: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+def _more_links(state: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between the parts of divided buckets, from their members (key, rep, linked).
 
-    A bucket of up to TILE members is one tile, in which signatures decide what is checked. A larger one is
-    first parted into finer buckets, whose members agree in a second band (at most DEPTH times: two texts of
-    similarity 0.8 agree in one band alone with probability 0.0002); what then is still larger is searched in
-    square tiles, whole."""
-    rounds = []
-    for depth in range(DEPTH + 1):
-        open_ = materialize(_members_of(state, _divided(state)), "open")
-        last = depth == DEPTH
-        rounds.append(open_ if last else open_.where(F.col("members") <= TILE))
-        large = open_.where(F.col("members") > TILE)
-        if last or large.isEmpty():
-            break
-        state = materialize(_refined(large, words), "finer")
-    todo = rounds[0]
-    for r in rounds[1:]:
-        todo = todo.unionByName(r)
-    todo = todo.withColumn("blocks", F.expr(f"cast(ceil(members / {TILE}) as int)")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    tiles = todo.join(sketch.select("rep", "sig"), "rep").select("key", "x", "y", "rep", "block", "linked", "sig")
-    suspects = materialize(tiles.groupBy("key", "x", "y").applyInPandas(_suspects(), "key long, x int, y int, rep long, block int, linked long"), "suspects")
-    tiles = suspects.join(sketch.select("rep", "sig", "sets"), "rep").select("key", "x", "y", "rep", "block", "linked", "sig", "sets")
+    Members of all parts but the largest are compared with all members, in tiles of up to TILE by TILE: first
+    by signatures, which decide what is checked, then by the sets of those that may be alike."""
+    state = state.join(materialize(_divided(state), "open"), "key")
+    block = "cast(pmod(xxhash64(rep), {}) as int)"
+    left = state.where("linked != _most").select("key", F.expr(block.format("x_blocks")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y"), "rep", F.lit(0).alias("side"), "linked")
+    right = state.select("key", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.expr(block.format("y_blocks")).alias("y"), "rep", F.lit(1).alias("side"), "linked")
+    tiles = left.unionByName(right).join(sketch.select("rep", "sig"), "rep").select("key", "x", "y", "rep", "side", "linked", "sig")
+    suspects = materialize(tiles.groupBy("key", "x", "y").applyInPandas(_suspects, "key long, x int, y int, rep long, side int, linked long"), "suspects")
+    tiles = suspects.join(sketch.select("rep", "sig", "sets"), "rep").select("key", "x", "y", "rep", "side", "linked", "sig", "sets")
     return materialize(tiles.groupBy("key", "x", "y").applyInPandas(_tile(threshold), "a long, b long"), "more")
 
 
@@ -394,7 +374,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     part = components(links)
     state = members.select("key", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("linked"))
     many = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 2").select("key")
-    more = _more_links(materialize(state.join(many, "key", "left_semi"), "state"), sketch, words, threshold)
+    more = _more_links(materialize(state.join(many, "key", "left_semi"), "state"), sketch, threshold)
 
     # parts that further links join, and so the class of each text
     ends = more.join(part.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(part.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
