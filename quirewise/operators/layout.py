@@ -215,9 +215,10 @@ def column_warnings(gutters: DataFrame) -> DataFrame:
 
 
 def unsupported_layouts(lines: DataFrame, pages: DataFrame, images: DataFrame, rules: DataFrame, gutters: DataFrame) -> DataFrame:
-    """All reasons why a page's reading order may be a guess, by (doc_id, page, kind)."""
+    """All reasons (doc_id, page, kind, detail, bbox) why a page's reading order may be a guess; a report sorts
+    them within each document."""
     parts = [column_warnings(gutters), vertical_text(lines), overlapping_text(lines), text_in_graphics(lines, images, pages), nested_tables(rules)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("doc_id", "page", "kind")
+    return out

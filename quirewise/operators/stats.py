@@ -142,12 +142,16 @@ def gutters(lines: DataFrame, char_widths: DataFrame) -> DataFrame:
 
     ``lines`` are those that bound columns. At each whole x of a page, the lines that cross it leave free
     bands; a band counts if it is half the page's text high, with four lines on either side that stand beside
-    each other for half that height. Neighbouring x make a gutter; it must be wide enough. The join is on
-    (doc_id, page); what it makes is bounded by a page's width times its lines.
+    each other for half that height. Neighbouring x make a gutter; it must be wide enough. Which lines cross
+    changes only where one ends, so a stretch between two such places is looked at once. The join is on
+    (doc_id, page); what it makes is bounded by the square of a page's lines.
     """
     P2 = ["doc_id", "page"]
     page = lines.groupBy(*P2).agg(F.min("bbox.x0").alias("l"), F.max("bbox.x1").alias("r"), F.min("bbox.y0").alias("lo"), F.max("bbox.y1").alias("hi"), F.count("*").alias("n")).where(f"n >= {PAGE_LINES} and hi > lo")
-    xs = page.where("ceil(l) + 1 <= floor(r) - 1").select(*P2, "lo", "hi", F.explode(F.sequence(F.ceil("l") + 1, F.floor("r") - 1)).alias("x"))
+    page = page.withColumn("first", F.ceil("l") + 1).withColumn("end", F.floor("r") - 1).where("first <= end")
+    marks = page.join(lines.select(*P2, "bbox"), P2).select(*P2, "lo", "hi", "first", "end", F.explode(F.array("first", F.ceil("bbox.x1"), F.floor("bbox.x0") + 1)).alias("x")).where("x between first and end").distinct()
+    w = Window.partitionBy(*P2).orderBy("x")
+    xs = marks.select(*P2, "lo", "hi", "x", F.coalesce(F.lead("x").over(w) - 1, "end").alias("until"), F.row_number().over(w).alias("no"))
     at = xs.join(lines.select(*P2, "bbox"), P2).withColumn("side", F.when(F.col("bbox.x1") <= F.col("x"), "left").when(F.col("bbox.x0") >= F.col("x"), "right").otherwise("across"))
     K = [*P2, "x"]
     across = at.where("side = 'across'").select(*K, "lo", "hi", F.col("bbox.y0").alias("start"), F.col("bbox.y1").alias("end"))
@@ -161,6 +165,6 @@ def gutters(lines: DataFrame, char_widths: DataFrame) -> DataFrame:
     )
     fine = sides.where((F.col("left_lines") >= COLUMN_LINES) & (F.col("right_lines") >= COLUMN_LINES) & (F.least("lb", "rb") - F.greatest("lt", "rt") >= (F.col("hi") - F.col("lo")) * GUTTER_TOGETHER))
     tall = fine.groupBy(*K).agg(F.max_by(F.struct("top", "bottom", "left_lines", "right_lines"), F.struct(F.col("bottom") - F.col("top"), -F.col("top"))).alias("band"))
-    run = tall.withColumn("run", F.col("x") - F.row_number().over(Window.partitionBy(*P2).orderBy("x")))
-    made = run.groupBy(*P2, "run").agg(F.min("x").cast("double").alias("left"), F.max("x").cast("double").alias("right"), F.max_by("band", F.struct(F.col("band.bottom") - F.col("band.top"), -F.col("x"))).alias("band"))
+    run = tall.join(xs.select(*K, "until", "no"), K).withColumn("run", F.col("no") - F.row_number().over(w))
+    made = run.groupBy(*P2, "run").agg(F.min("x").cast("double").alias("left"), F.max("until").cast("double").alias("right"), F.max_by("band", F.struct(F.col("band.bottom") - F.col("band.top"), -F.col("x"))).alias("band"))
     return made.join(char_widths, "doc_id").where(F.col("right") - F.col("left") >= F.greatest(F.lit(2.0), F.col("median_character_width") * 2)).select(*P2, "left", "right", "band.*")

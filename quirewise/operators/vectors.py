@@ -16,6 +16,8 @@ from ..functions import patterns as P
 
 #: References are a fixed table of a few hundred rows; a larger one is joined without a broadcast hint.
 REFERENCE_ROWS = 2000
+#: References of one block beyond that.
+REFERENCE_BLOCK = 500
 
 
 def encode(df: DataFrame, text: str, provider: Callable[[], Callable[[list[str]], list[list[float]]]], name: str = "vector") -> DataFrame:
@@ -63,15 +65,21 @@ def _near(refs: DataFrame) -> DataFrame:
 def class_scores(candidates: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, class, score, ord): each candidate's best score a class.
 
-    Every candidate meets every reference by definition; the references ride along as one array, so it is a
-    map over candidates and neither a join's cross product nor a shuffle of vectors."""
-    packed = refs.groupBy("class").agg(F.min("ord").alias("ord"), F.collect_list("vector").alias("vectors")).agg(F.collect_list(F.struct("class", "ord", "vectors")).alias("refs"))
-    rows = packed.first()["refs"]  # the reference table is small by definition
-    spark = candidates.sparkSession
-    table = spark.createDataFrame([(rows,)], "refs array<struct<class:string,ord:int,vectors:array<array<float>>>>")
-    each = candidates.select(*keys, F.col("vector")).join(F.broadcast(table))
+    Every candidate meets every reference by definition. A counted few references ride along as one broadcast
+    array, so it is a map over candidates; more are packed into blocks of REFERENCE_BLOCK rows, candidates are
+    dealt to every block, and the best of the blocks counts."""
+    count = refs.count()
+    blocks = 1 if count <= REFERENCE_ROWS else -(-count // REFERENCE_BLOCK)
+    numbered = refs.select("class", "ord", "vector", F.pmod(F.xxhash64("class", "ord"), F.lit(blocks)).alias("_block"))
+    packed = numbered.groupBy("_block", "class").agg(F.min("ord").alias("ord"), F.collect_list("vector").alias("vectors")).groupBy("_block").agg(F.collect_list(F.struct("class", "ord", "vectors")).alias("refs"))
+    each = candidates.select(*keys, F.col("vector"))
+    if blocks == 1:
+        each = each.join(F.broadcast(packed.select("refs")))
+    else:
+        each = each.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_block")
     best = F.transform("refs", lambda r: F.struct(r["class"].alias("class"), r["ord"].alias("ord"), F.array_max(F.transform(r["vectors"], lambda v: dot(F.col("vector"), v))).alias("score")))
-    return each.select(*keys, F.explode(best).alias("b")).select(*keys, "b.class", "b.ord", "b.score")
+    scored = each.select(*keys, F.explode(best).alias("b")).select(*keys, "b.class", "b.ord", "b.score")
+    return scored if blocks == 1 else scored.groupBy(*keys, "class").agg(F.min("ord").alias("ord"), F.max("score").alias("score"))
 
 
 def winners(scores: DataFrame, keys: list[str]) -> DataFrame:

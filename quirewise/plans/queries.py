@@ -102,11 +102,11 @@ def bracket_depths(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line_index", T.bracket_depth(F.col("text")).alias("depth"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_index, trim(CASE WHEN part LIKE '(%' OR part LIKE '%)' THEN part ELSE part END, ' ,;:-') AS trimmed FROM (SELECT doc_id, line_index, regexp_replace(split_part(text, '(', 2), '^\\)+', '') AS part FROM lines WHERE text LIKE '%(%' AND text NOT LIKE '%])%') x""")
+@query(f"""WITH {LINES} SELECT doc_id, line_index, trim(CASE WHEN part LIKE '(%' OR part LIKE '%)' THEN part ELSE part END, ' ,;:-') AS trimmed FROM (SELECT doc_id, line_index, regexp_replace(split_part(text, '(', 2), '^\\)+', '') AS part FROM lines WHERE text LIKE '%(%') x""")
 def trimmed_brackets(spark, sf_dir):
     """What stands behind an opening bracket, its own orphans dropped."""
     part = F.element_at(F.split("text", r"\("), 2)
-    some = _lines(spark, sf_dir).where(F.col("text").contains("(") & ~F.col("text").contains("])"))
+    some = _lines(spark, sf_dir).where(F.col("text").contains("("))
     return some.select("doc_id", "line_index", T.trim_brackets(part).alias("trimmed"))
 
 
@@ -126,10 +126,66 @@ def parsed_stages(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(T.stages(spec), lambda x: x.cast("string")), ",").alias("stages"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_index, rtrim(regexp_replace(text, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}', repeat(' ', length(regexp_extract(text, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}'))))) AS masked FROM lines WHERE text LIKE '%@mail%'""")
+@query(f"""WITH {LINES} SELECT doc_id, line_index, rtrim(regexp_replace(text, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}', repeat(' ', length(regexp_extract(text, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}'))))) AS masked FROM lines""")
 def masked_contacts(spark, sf_dir):
     t = F.col("text")
-    return _lines(spark, sf_dir).where(t.contains("@mail")).select("doc_id", "line_index", F.rtrim(T.mask(t, find_all(t, P.EMAIL))).alias("masked"))
+    return _lines(spark, sf_dir).select("doc_id", "line_index", F.rtrim(T.mask(t, find_all(t, P.EMAIL))).alias("masked"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, line_index, text, CAST(instr(text, '|') AS INT) AS bar FROM lines) SELECT doc_id, line_index, trim(part, ' |,;:•·-–—()') AS label, CAST(bar + length(part) - length(ltrim(part, ' |,;:•·-–—()')) AS INT) AS start, CAST(bar + length(part) - length(ltrim(part, ' |,;:•·-–—()')) + length(trim(part, ' |,;:•·-–—()')) AS INT) AS stop FROM (SELECT *, substr(text, bar + 1) AS part FROM p) x""")
+def trimmed_labels(spark, sf_dir):
+    """What stands behind a line's first bar, or all of it, without separators at its ends."""
+    at = F.instr("text", "|")
+    span = _lines(spark, sf_dir).select("doc_id", "line_index", T.trimmed_label(F.substring(F.col("text"), at + 1, F.length("text")), at).alias("s"))
+    return span.select("doc_id", "line_index", F.col("s.text").alias("label"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_index, trim(regexp_replace(text, '^\\s*(?:[-+*•●▪◦‣¢]|\\d+[.)])\\s*', '')) AS bare FROM lines""")
+def bullets_without_markers(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "line_index", T.without_marker(F.col("text")).alias("bare"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_filter([c_name, CASE WHEN c_custkey % 3 = 0 THEN '  ' END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END], lambda v: v IS NOT NULL AND trim(v) <> ''), ' · ') AS joined FROM customer""")
+def joined_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    values = F.array("c_name", F.when(k % 3 == 0, "  "), F.when(k % 2 == 0, F.col("c_mktsegment")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.joined(values).alias("joined"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_index, regexp_matches(trim(text), '(?i)^((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\\s+)?(19|20)\\d{{2}}$') AS is_date FROM (SELECT doc_id, line_index, CASE WHEN text LIKE 'Jan%' THEN split_part(text, ' – ', 1) ELSE text END AS text FROM lines) x""")
+def date_ends(spark, sf_dir):
+    """Whether a line, or what stands before its dash, is one end of a date range."""
+    t = F.when(F.col("text").startswith("Jan"), F.split_part("text", F.lit(" – "), F.lit(1))).otherwise(F.col("text"))
+    return _lines(spark, sf_dir).select("doc_id", "line_index", P.is_date(t).alias("is_date"))
+
+
+_LABELS = "regexp_extract(text, '^([A-Za-z][A-Za-z .''/]{{1,40}}?)\\s*(?::|[-–—])\\s*(.+)$', {0})".format
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_index, {_LABELS(1)} AS label, {_LABELS(2)} AS body FROM lines WHERE regexp_matches(text, '^([A-Za-z][A-Za-z .''/]{{1,40}}?)\\s*(?::|[-–—])\\s*(.+)$')""")
+def inline_labels(spark, sf_dir):
+    """Lines that are a label and its value, whatever the label is."""
+    t = F.col("text")
+    return _lines(spark, sf_dir).where(P.matches(t, P.INLINE)).select("doc_id", "line_index", P.group(t, P.INLINE, 1).alias("label"), P.group(t, P.INLINE, 2).alias("body"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, line_index, CAST(unnest(range(len(p))) AS INT) AS part, unnest(p) AS text FROM (SELECT doc_id, line_index, list_transform(string_split(text, ' | '), lambda x: trim(x)) AS p FROM lines) x) SELECT doc_id, line_index, part, {_LABELS(1)} AS label, {_LABELS(2)} AS body FROM s WHERE regexp_matches(text, '^([A-Za-z][A-Za-z .''/]{{1,40}}?)\\s*(?::|[-–—])\\s*(.+)$')""")
+def generic_labels(spark, sf_dir):
+    """Label and value in each part between bars."""
+    parts = _lines(spark, sf_dir).select("doc_id", "line_index", F.posexplode(F.split("text", r" \| ")).alias("part", "text")).withColumn("text", F.trim("text"))
+    t = F.col("text")
+    own = parts.where(P.matches(t, rf"^{P.GENERIC}$"))
+    return own.select("doc_id", "line_index", "part", P.group(t, rf"^{P.GENERIC}$", 1).alias("label"), P.group(t, rf"^{P.GENERIC}$", 2).alias("body"))
+
+
+@query(f"""WITH {BOXES}, s AS (SELECT doc_id, median((x1 - x0) / length(text)) AS char, median(y1 - y0) AS height, median((x1 - x0) / 10) AS space FROM boxes GROUP BY doc_id)
+ SELECT doc_id, round(CASE WHEN space > 0 THEN space * 0.6 ELSE char * 0.3 END, 6) AS word_gap, round(greatest(space, char) * 5.0, 6) AS cell_gap, round(height * 0.5, 6) AS tolerance, round(greatest(1.5 * 2.0, height * 0.5), 6) AS paragraph_gap FROM s""")
+def gap_thresholds(spark, sf_dir):
+    """Gaps of documents from their characters, spaces and line heights."""
+    b = _boxes(spark, sf_dir)
+    s = b.groupBy("doc_id").agg(F.median((F.col("x1") - F.col("x0")) / F.length("text")).alias("char"), F.median(F.col("y1") - F.col("y0")).alias("height"), F.median((F.col("x1") - F.col("x0")) / 10).alias("space"))
+    t = ST.thresholds(F.col("space"), F.col("char"), F.col("height"), F.lit(1.5), F.lit(10.0))
+    return s.select("doc_id", *[F.round(t[k], 6).alias(n) for k, n in (("word_gap", "word_gap"), ("cell_gap", "cell_gap"), ("baseline_tolerance", "tolerance"), ("paragraph_gap", "paragraph_gap"))])
 
 
 # -- patterns -------------------------------------------------------------
@@ -247,12 +303,14 @@ def method_tiers(spark, sf_dir):
 @query(f"""WITH {LINES}, e AS (SELECT doc_id, count(*) AS n, min(regexp_extract(text, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}')) AS email FROM lines WHERE text LIKE '%@mail%' GROUP BY ALL),
  b AS (SELECT doc_id, arg_min(regexp_extract(text, 'Birth: ([^|]*\\S)\\s*\\|', 1), line_index) AS born, arg_min(regexp_extract(text, 'Nationality: (.*)$', 1), line_index) AS nation FROM lines WHERE text LIKE 'Date of Birth%' GROUP BY ALL),
  u AS (SELECT doc_id, count(DISTINCT regexp_extract(text, 'https?://[^\\s|,;)]+')) AS urls FROM lines WHERE text LIKE 'https%' GROUP BY ALL)
- SELECT coalesce(e.doc_id, b.doc_id, u.doc_id) AS doc_id, email, CAST(coalesce(n, 0) AS INT) AS phones, born, nation, CAST(coalesce(urls, 0) AS INT) AS urls FROM e FULL JOIN b ON e.doc_id = b.doc_id FULL JOIN u ON u.doc_id = coalesce(e.doc_id, b.doc_id)""")
+ SELECT h.doc_id, email, CAST(coalesce(n, 0) AS INT) AS phones, born, nation, CAST(coalesce(urls, 0) AS INT) AS urls FROM (SELECT DISTINCT doc_id FROM lines) h LEFT JOIN e USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN u USING (doc_id)""")
 def contact_profiles(spark, sf_dir):
-    h = resume.contact_profile(_lines(spark, sf_dir))
+    li = _lines(spark, sf_dir)
+    h = li.select("doc_id").distinct().join(resume.contact_profile(li), "doc_id", "left")
     p = F.col("header_profile")
-    web = F.size(F.filter(p["urls"], lambda u: u["url"].startswith("https")))
-    return h.select("doc_id", F.get(p["emails"], F.lit(0)).alias("email"), F.size(F.filter(p["phones"], lambda x: x.startswith("+"))).alias("phones"), p["date_of_birth"].alias("born"), p["nationality"].alias("nation"), web.alias("urls")).where("email is not null or born is not null or urls > 0")
+    web = F.coalesce(F.size(F.filter(p["urls"], lambda u: u["url"].startswith("https"))), F.lit(0))
+    phones = F.coalesce(F.size(F.filter(p["phones"], lambda x: x.startswith("+"))), F.lit(0))
+    return h.select("doc_id", F.get(p["emails"], F.lit(0)).alias("email"), phones.alias("phones"), p["date_of_birth"].alias("born"), p["nationality"].alias("nation"), web.alias("urls"))
 
 
 # -- geometry ---------------------------------------------------------------
@@ -279,7 +337,7 @@ def page_hulls(spark, sf_dir):
  SELECT doc_id, line_index, round(x0 + (x1 - x0) * s / n, 4) AS left_edge, round(x0 + (x1 - x0) * (s + 1) / n, 4) AS right_edge FROM e""")
 def span_boxes(spark, sf_dir):
     t = F.col("text")
-    s = _lines(spark, sf_dir).select("doc_id", "line_index", "bbox", F.length("text").alias("n"), F.explode(find_all(t, "@")).alias("m")).dropDuplicates(["doc_id", "line_index"])
+    s = _lines(spark, sf_dir).select("doc_id", "line_index", "bbox", F.length("text").alias("n"), F.explode(find_all(t, "@")).alias("m"))
     b = G.span_box(F.col("bbox"), F.col("m.start"), F.col("m.end"), F.col("n"))
     return s.select("doc_id", "line_index", F.round(b["x0"], 4).alias("left_edge"), F.round(b["x1"], 4).alias("right_edge"))
 
@@ -290,7 +348,8 @@ def span_boxes(spark, sf_dir):
 def resolved_boxes(spark, sf_dir):
     li = _lines(spark, sf_dir)
     other = li.select("doc_id", "page", F.col("line_index").alias("j"), F.col("bbox").alias("o"))
-    hits = li.select("doc_id", "page", "line_index").join(other, ["doc_id", "page"]).where("j != line_index").groupBy("doc_id", "line_index").agg(F.collect_list("o").alias("hits"))
+    touch = "j != line_index AND o.x0 < bbox.x1 AND bbox.x0 < o.x1 AND o.y0 < bbox.y1 AND bbox.y0 < o.y1"
+    hits = li.select("doc_id", "page", "line_index", "bbox").join(other, ["doc_id", "page"]).where(touch).groupBy("doc_id", "line_index").agg(F.collect_list("o").alias("hits"))
     full = li.join(hits, ["doc_id", "line_index"], "left")
     none = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
     box = G.resolved_box(F.col("bbox"), F.coalesce("hits", F.expr("cast(array() as array<struct<x0:double,y0:double,x1:double,y1:double>>)")), none)
@@ -359,11 +418,11 @@ def indent_levels(spark, sf_dir):
     return ST.indentation_levels(b, _widths(b)).select("doc_id", F.posexplode("levels").alias("no", "level"))
 
 
-@query("""WITH e AS (SELECT user_id, CAST(value AS DOUBLE) AS s, CAST(value + 1.5 AS DOUBLE) AS e FROM events WHERE value < 60), c AS (SELECT user_id, greatest(s, 0) AS s, least(e, 50) AS e FROM e WHERE least(e, 50) > greatest(s, 0)),
+@query("""WITH e AS (SELECT user_id, CAST(value AS DOUBLE) AS s, CAST(value + 1.5 AS DOUBLE) AS e FROM events), c AS (SELECT user_id, greatest(s, 0) AS s, least(e, 50) AS e FROM e WHERE least(e, 50) > greatest(s, 0)),
  r AS (SELECT user_id, s, e, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
  SELECT user_id, round(before, 4) AS top, round(s, 4) AS bottom FROM r WHERE s > before UNION ALL SELECT user_id, round(max(e), 4), 50.0 FROM c GROUP BY user_id HAVING max(e) < 50""")
 def free_intervals(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("value < 60").select("user_id", F.col("value").alias("start"), (F.col("value") + 1.5).alias("end"), F.lit(0.0).alias("lo"), F.lit(50.0).alias("hi"))
+    e = _table(spark, sf_dir, "events").select("user_id", F.col("value").alias("start"), (F.col("value") + 1.5).alias("end"), F.lit(0.0).alias("lo"), F.lit(50.0).alias("hi"))
     return ST.free_bands(e, ["user_id"]).select("user_id", F.round("top", 4).alias("top"), F.round("bottom", 4).alias("bottom"))
 
 
@@ -432,6 +491,18 @@ def visual_rows(spark, sf_dir):
     return L.visual_rows(b, "tol").select("doc_id", "page", "row", F.col("line_index").alias("line_no"))
 
 
+# two columns: what overlaps in height joins, unless the gutter at 250 to 280 runs between
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT doc_id, page, line_no, x0, x1, {_BASE} AS base, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, line_no) AS n FROM boxes),
+ f AS (SELECT doc_id, n, page, line_no, [base] AS bases, x0, x1, 0 AS row FROM o WHERE n = 1
+  UNION ALL SELECT doc_id, n, page, line_no, CASE WHEN same THEN list_append(bases, base) ELSE [base] END, CASE WHEN same THEN least(x0, fx0) ELSE x0 END, CASE WHEN same THEN greatest(x1, fx1) ELSE x1 END, CASE WHEN same THEN row ELSE row + 1 END
+   FROM (SELECT o.*, f.bases, f.x0 AS fx0, f.x1 AS fx1, f.row, o.page = f.page AND abs(o.base - list_aggregate(f.bases, 'median')) <= 6 AND NOT (CASE WHEN f.x0 <= o.x0 THEN f.x1 ELSE o.x1 END <= 250 AND greatest(f.x0, o.x0) >= 280) AS same FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1) j)
+ SELECT doc_id, page, row, line_no FROM f""")
+def rows_between_gutters(spark, sf_dir):
+    gut = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(250.0).alias("left"), F.lit(280.0).alias("right")) for p in (1, 2, 3)])
+    b = _boxes(spark, sf_dir).withColumns({"baseline": F.expr(_BASE), "line_index": F.col("line_no"), "tol": F.lit(6.0), "gut": gut})
+    return L.visual_rows(b, "tol", "gut").select("doc_id", "page", "row", F.col("line_index").alias("line_no"))
+
+
 @query(f"""WITH {BOXES}, t AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN NULL ELSE line_no // 4 END AS tbl, line_no // 2 AS r FROM boxes),
  b AS (SELECT *, CASE WHEN tbl IS NOT NULL AND lag(tbl) OVER w = tbl AND lag(r) OVER w = r THEN 0 ELSE 1 END AS opens FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
  SELECT doc_id, line_no, CAST(sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS row_no FROM b""")
@@ -450,7 +521,20 @@ def line_blocks(spark, sf_dir):
     return L.paragraphs(li).select("doc_id", "block", "lines")
 
 
-@query()
+# brackets of a line: what they add up to, and how deep they fall below their start
+_BRACKETS = """br AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY line_index) AS n, coalesce(list_sum(d), 0) AS total, coalesce(list_min(list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i]))), 0) AS low
+  FROM (SELECT *, list_transform(regexp_extract_all({text}, '[()\\[\\]]'), lambda c: CASE WHEN c IN ('(', '[') THEN 1 ELSE -1 END) AS d FROM {rows}) x)"""
+# depth after a line, and lines since the bracket that is still open was opened
+_DEPTH = "{d} + o.total - least(0, {d} + o.low)"
+_SINCE = "CASE WHEN {d} > 0 AND {d} + o.low >= 1 THEN {s} + 1 ELSE 0 END"
+_ON = "o.page = f.page AND o.y0 - f.y1 >= -2 AND (o.y0 - f.y1 <= {gap} OR (f.depth > 0 AND o.y0 - f.y1 <= 30 AND f.since < 3)) AND least(o.x1, f.x1) > greatest(o.x0, f.x0)"
+
+
+@query(f"""WITH RECURSIVE {LINES}, {_BRACKETS.format(keys='doc_id', text='text', rows='lines')},
+ f AS (SELECT doc_id, n, line_index, page, text, x0, x1, y1, total - least(0, low) AS depth, 0 AS since, 0 AS block FROM br WHERE n = 1
+  UNION ALL SELECT doc_id, n, line_index, page, text, x0, x1, y1, CASE WHEN go THEN {_DEPTH.format(d='depth').replace('o.', '')} ELSE total - least(0, low) END, CASE WHEN go THEN {_SINCE.format(d='depth', s='since').replace('o.', '')} ELSE 0 END, CASE WHEN go THEN block ELSE block + 1 END
+   FROM (SELECT o.doc_id, o.n, o.line_index, o.page, o.text, o.x0, o.x1, o.y1, o.total, o.low, f.depth, f.since, f.block, {_ON.format(gap='3')} AS go FROM f JOIN br o ON o.doc_id = f.doc_id AND o.n = f.n + 1) j)
+ SELECT doc_id, block, min(page) AS page, string_agg(text, chr(10) ORDER BY line_index) AS text, CAST(count(*) AS INT) AS lines FROM f GROUP BY doc_id, block""")
 def bracketed_blocks(spark, sf_dir):
     """With open brackets that reach over gaps."""
     li = _lines(spark, sf_dir).withColumns({"paragraph_gap": F.lit(3.0), "line_height": F.lit(10.0)})
@@ -478,9 +562,12 @@ _IMAGES = "im AS (SELECT doc_id, page, line_no AS region_no, x0 - 2.0 AS ix0, y0
  SELECT doc_id, page, arg_min(n, region_no) AS n FROM c GROUP BY doc_id, page""")
 def text_in_images(spark, sf_dir):
     b = _boxes(spark, sf_dir)
+    return L.text_in_graphics(b, _image_boxes(b), _pages(b)).select("doc_id", "page", F.regexp_extract("detail", r"^(\d+)", 1).cast("long").alias("n"))
+
+
+def _image_boxes(b):
     region = F.struct((F.col("x0") - 2).alias("x0"), (F.col("y0") - 2).alias("y0"), (F.col("x1") + 2).alias("x1"), (F.col("y1") + 14).alias("y1"))
-    im = b.where("line_no % 17 = 0").select("doc_id", "page", F.col("line_no").alias("region_no"), region.alias("region"))
-    return L.text_in_graphics(b, im, _pages(b)).select("doc_id", "page", F.regexp_extract("detail", r"^(\d+)", 1).cast("long").alias("n"))
+    return b.where("line_no % 17 = 0").select("doc_id", "page", F.col("line_no").alias("region_no"), region.alias("region"))
 
 
 _RULES = "ru AS (SELECT doc_id, page, line_no, CASE WHEN line_no % 2 = 0 THEN 40.0 ELSE 60.0 + line_no % 7 END AS x0, CASE WHEN line_no % 2 = 0 THEN 540.0 ELSE 160.0 + line_no % 7 END AS x1, y0, y0 + line_no % 4 AS y1 FROM boxes)"
@@ -491,12 +578,15 @@ _RULES = "ru AS (SELECT doc_id, page, line_no, CASE WHEN line_no % 2 = 0 THEN 40
  i AS (SELECT h.doc_id, h.page, h.y0, g.t, h.x0 FROM h JOIN g ON h.doc_id = g.doc_id AND h.page = g.page AND NOT (e0 = g0 AND e1 = g1) AND t < h.y0 AND h.y1 < b AND h.x0 >= l AND h.x1 <= r AND h.x1 - h.x0 < (r - l) * 0.9)
  SELECT doc_id, page, arg_min(y0, (t, y0)) AS y0 FROM i GROUP BY doc_id, page""")
 def nested_rules(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
+    return L.nested_tables(_rule_boxes(_boxes(spark, sf_dir))).select("doc_id", "page", "bbox.y0")
+
+
+def _rule_boxes(b):
     even = F.col("line_no") % 2 == 0
     x0, x1 = F.when(even, 40.0).otherwise(60.0 + F.col("line_no") % 7), F.when(even, 540.0).otherwise(160.0 + F.col("line_no") % 7)
     r = b.select("doc_id", "page", F.struct(x0.alias("x0"), F.col("y0"), x1.alias("x1"), (F.col("y0") + F.col("line_no") % 4).alias("y1")).alias("bbox"))
     kind = physical.rule_kind(F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0"))
-    return L.nested_tables(r.withColumn("orientation", kind).where("orientation is not null")).select("doc_id", "page", "bbox.y0")
+    return r.withColumn("orientation", kind).where("orientation is not null")
 
 
 _LINKS = "lk AS (SELECT doc_id, page, line_no AS link_no, 'https://x.example/' || CAST(line_no AS STRING) AS uri, x0 + 3 AS rx0, y0 + 2 AS ry0, x1 - 20 AS rx1, y1 + 1 AS ry1 FROM boxes WHERE line_no % 9 = 0)"
@@ -561,7 +651,21 @@ def content_to_the_right(spark, sf_dir):
     return R.right_neighbours(li, li)
 
 
-@query()
+_ORD = "coalesce(nullif(regexp_replace({0}, '^\\s*(?:\\d{{1,2}}|[IVXivx]{{1,4}})\\s*[.)\\]:–—-]?\\s+', ''), ''), {0})".format
+_CAPITALS = "CASE WHEN regexp_matches({0}, '[A-Za-z]') THEN length(regexp_replace({0}, '[^A-Z]', '', 'g')) / length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) ELSE 0 END".format
+_BULLETED = "regexp_matches({0}, '^\\s*(?:[-+*•●▪◦‣¢]|\\d+[.)])')".format
+_ROUTED = f"""{_HEADINGS}, cand AS (SELECT l.*, {_ORD('text')} AS h, hd.section_type IS NOT NULL AS strong, coalesce(hd.section_type, 'others') AS st FROM lines l LEFT JOIN hd USING (doc_id, line_index)),
+ beside AS (SELECT DISTINCT a.doc_id, a.line_index, true AS beside FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND a.page = b.page AND a.line_index <> b.line_index WHERE {WORDS('a.text')} <= 8 AND b.x0 > a.x1 + greatest(2, a.size * 0.5) AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= least(a.y1 - a.y0, b.y1 - b.y0) * 0.45),
+ peers AS (SELECT *, h <> '' AND NOT {_BULLETED('h')} AND length(h) <= 80 AND {WORDS('h')} <= 8 AND ({_CAPITALS('h')} >= 0.8 OR bold) AS peer FROM cand),
+ maybe AS (SELECT p.*, coalesce(b.beside, false) AS beside, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.line_index) AS n FROM peers p LEFT JOIN beside b ON b.doc_id = p.doc_id AND b.line_index = p.line_index WHERE strong OR peer),
+ fold AS (SELECT doc_id, n, line_index, st, strong AS kept, CASE WHEN strong THEN 0 ELSE -1 END AS no, CASE WHEN strong THEN st END AS lt, CASE WHEN strong THEN size END AS ls, CASE WHEN strong THEN x0 END AS lx, CASE WHEN strong THEN page END AS lp FROM maybe WHERE n = 1
+  UNION ALL SELECT doc_id, n, line_index, st, keep, CASE WHEN keep THEN no + 1 ELSE no END, CASE WHEN keep THEN st ELSE lt END, CASE WHEN keep THEN size ELSE ls END, CASE WHEN keep THEN x0 ELSE lx END, CASE WHEN keep THEN page ELSE lp END
+   FROM (SELECT m.doc_id, m.n, m.line_index, m.st, m.size, m.x0, m.page, f.no, f.lt, f.ls, f.lx, f.lp, (m.strong OR coalesce(f.no >= 0 AND m.peer AND m.size >= f.ls * 0.98 AND m.st <> f.lt, false)) AND NOT coalesce(f.no >= 0 AND m.page >= f.lp AND m.size < f.ls * 0.98 AND m.x0 > f.lx + greatest(4.0, f.ls * 0.5) AND m.beside, false) AS keep
+    FROM fold f JOIN maybe m ON m.doc_id = f.doc_id AND m.n = f.n + 1) j),
+ routed AS (SELECT doc_id, no AS heading_no, line_index, st AS section_type FROM fold WHERE kept)"""
+
+
+@query(f"WITH RECURSIVE {LINES}, {_ROUTED} SELECT doc_id, heading_no, line_index, section_type, CASE WHEN section_type = 'others' THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity, 0.0::DOUBLE AS runner_up FROM routed")
 def routed_headings(spark, sf_dir):
     li = _lines(spark, sf_dir)
     return R.routed_headings(li, _headings(li))
@@ -578,7 +682,37 @@ def body_styles(spark, sf_dir):
     return R.body_style(under).select("doc_id", F.col("heading_no").alias("heading_line"), "body_size", "body_bold", "body_level")
 
 
-@query()
+def _section_of(x: str) -> str:
+    """SQL of the section that a text names word for word."""
+    folded = f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+    quote = lambda p: "'" + p.lower().replace("'", "''") + "'"
+    return f"CASE {' '.join(f'WHEN {folded} IN (' + ', '.join(map(quote, names)) + f') THEN {quote(kind)}' for kind, names in R.SECTIONS.items())} END"
+
+
+_MARKER = "trim(regexp_replace(trim({0}), '^\\s*(?:[-+*•●▪◦‣¢]|\\d+[.)])\\s*', ''))".format
+# lines below their headings, with indentation level, body style and whether they are set like subheadings
+_BODY = f"""{_ROUTED}, lefts AS (SELECT doc_id, x0, row_number() OVER (PARTITION BY doc_id ORDER BY x0) AS n FROM (SELECT DISTINCT doc_id, x0 FROM lines) d),
+ lv AS (SELECT doc_id, n, x0 AS level, true AS opens FROM lefts WHERE n = 1 UNION ALL SELECT o.doc_id, o.n, CASE WHEN o.x0 - f.level > 5 THEN o.x0 ELSE f.level END, o.x0 - f.level > 5 FROM lv f JOIN lefts o ON o.doc_id = f.doc_id AND o.n = f.n + 1),
+ levels AS (SELECT doc_id, list(round_even(level, 2) ORDER BY level) AS ls FROM lv WHERE opens GROUP BY doc_id),
+ marked AS (SELECT l.*, last_value(r.heading_no IGNORE NULLS) OVER w AS heading_no, last_value(r.section_type IGNORE NULLS) OVER w AS section_type, max(r.line_index) OVER w AS heading_line FROM lines l LEFT JOIN routed r ON r.doc_id = l.doc_id AND r.line_index = l.line_index WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ under AS (SELECT m.*, coalesce(list_position(list_transform(ls, lambda v: abs(x0 - v) <= 5), true) - 1, len(ls)) AS level FROM marked m JOIN levels USING (doc_id) WHERE heading_no IS NOT NULL AND line_index > heading_line),
+ wrapped AS (SELECT *, coalesce(lag(page) OVER w = page AND level > lag(level) OVER w, false) AS wrapped FROM under WINDOW w AS (PARTITION BY doc_id, heading_no ORDER BY line_index)),
+ prosed AS (SELECT *, ({WORDS('text')} > 12 OR regexp_matches(rtrim(text), '[.,;:]$')) AND NOT wrapped AS prose FROM wrapped),
+ style AS (SELECT doc_id, heading_no, CASE WHEN bool_or(prose) THEN median(CASE WHEN prose THEN size END) ELSE median(size) END AS body_size, CASE WHEN bool_or(prose) THEN count(*) FILTER (prose AND bold) * 2 > count(*) FILTER (prose) ELSE count(*) FILTER (bold) * 2 > count(*) END AS body_bold, min(level) AS body_level FROM prosed GROUP BY ALL),
+ body AS (SELECT u.*, t.text AS heading_text, trim(u.text) <> '' AND NOT regexp_matches(trim(u.text), '[.,;:]$') AND level <= body_level AND length(trim(u.text)) <= 100 AND {WORDS('u.text')} <= 12 AND ((body_size > 0 AND u.size >= body_size * 1.08) OR (u.bold AND NOT body_bold)) AS subheading
+  FROM under u JOIN style USING (doc_id, heading_no) JOIN lines t ON t.doc_id = u.doc_id AND t.line_index = u.heading_line)"""
+
+
+@query(f"""WITH RECURSIVE {LINES}, {_BODY},
+ pieces AS (SELECT *, list_filter(list_transform(regexp_split_to_array(heading_text, '(?i)\\s*(?:\\bas\\s+well\\s+as\\b|\\balong\\s+with\\b|\\band\\b|\\bwith\\b|\\bplus\\b|[&+/|,;])\\s*'), lambda x: trim(x)), lambda x: length(x) >= 2 AND regexp_matches(x, '\\p{{L}}')) AS ps, {_section_of('heading_text')} AS whole FROM body),
+ parts AS (SELECT *, CASE WHEN whole IS NOT NULL OR len(ps) = 0 THEN [heading_text] ELSE ps END AS cs FROM pieces),
+ named AS (SELECT *, list_filter(list_transform(cs, lambda x: {{'t': lower(x), 's': {_section_of('x')}}}), lambda c: c.s IS NOT NULL) AS ks, {_MARKER('text')} AS bare FROM parts),
+ label AS (SELECT *, lower(trim(regexp_replace(regexp_extract(bare, '^([^:\\t]{{1,60}}):\\s*(.+)$', 1), '\\s+', ' ', 'g'))) AS lab, CASE WHEN subheading THEN {_section_of('bare')} END AS local FROM named),
+ claim AS (SELECT *, subheading AND coalesce(list_contains(list_transform(ks, lambda c: c.s), local), false) AS is_run,
+  CASE WHEN regexp_matches(bare, '^([^:\\t]{{1,60}}):\\s*(.+)$') THEN coalesce(list_filter(ks, lambda c: c.t = lab OR c.s = {_section_of('lab')})[1].s, CASE WHEN list_contains(list_transform(ks, lambda c: c.s), 'languages') AND lab IN ({', '.join("'" + x.lower() + "'" for x in P.LANGUAGES)}) THEN 'languages' END) END AS own FROM label),
+ runs AS (SELECT *, nullif(last_value(CASE WHEN is_run THEN local WHEN subheading THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id, heading_no ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS run FROM claim),
+ owned AS (SELECT *, CASE WHEN is_run THEN local ELSE coalesce(own, run) END AS owner FROM runs)
+ SELECT doc_id, heading_no, line_index, section_type, CASE WHEN len(cs) < 2 THEN section_type WHEN len(ks) = 0 THEN 'others' WHEN NOT bool_or(owner IS NOT NULL) OVER (PARTITION BY doc_id, heading_no) THEN ks[1].s ELSE coalesce(owner, 'others') END AS logical_type, len(cs) >= 2 AS compound FROM owned""")
 def logical_sections(spark, sf_dir):
     li = _lines(spark, sf_dir)
     return R.logical_sections(resume.body_lines(li, R.routed_headings(li, _headings(li)), _widths(li))).select("doc_id", "heading_no", "line_index", "section_type", "logical_type", "compound")
@@ -613,7 +747,19 @@ def experience_records(spark, sf_dir):
     return X.experience_roles(_experience(spark, sf_dir)).select("doc_id", "line_index", "record", "role")
 
 
-@query()
+_SPAN = "(?i)\\b(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+)?(?:19|20)\\d{{2}}\\s*[-–]\\s*(?:(?:19|20)\\d{{2}}|Present|Current|Now)\\b".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH RECURSIVE {LINES}, e AS (SELECT doc_id, line_index, bold, text, regexp_matches(text, '{_SPAN}') AS ranged, regexp_matches(text, '\\b(?:19|20)\\d{{2}}\\b') AS dated, regexp_matches(text, '(?i)\\bgpa\\s*:?[\\s-]*\\d') AS gpa, regexp_matches(text, '(?i)\\b(?:bachelor|associate|degree|diploma|certificate|graduate)\\b') AS degree, regexp_matches(text, '(?i)\\b(?:university|college|institute|school|academy)\\b') AS institution, {WORDS('text')} AS w FROM lines),
+ x AS (SELECT *, ranged OR gpa OR degree OR institution AS explicit, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS n FROM e),
+ r AS (SELECT *, NOT (explicit AND (bold OR regexp_matches(text, '[|•·–—]|\\s-\\s') OR w <= 12)) AND (w > 12 OR regexp_matches(text, '[.;:]$')) AS prose, w <= 12 AS short FROM x),
+ f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, -1 AS line_index, -1 AS record, false AS body, false AS t, false AS i, false AS d, '' AS role FROM (SELECT DISTINCT doc_id FROM r) q
+  UNION ALL SELECT doc_id, n, line_index, CASE WHEN opens THEN record + 1 ELSE record END, CASE WHEN meta OR tail THEN body AND NOT opens ELSE true END, CASE WHEN opens THEN meta AND nt ELSE t OR (meta AND nt) END, CASE WHEN opens THEN meta AND ni ELSE i OR (meta AND ni) END, CASE WHEN opens THEN meta AND nd ELSE d OR (meta AND nd) END, CASE WHEN meta THEN 'metadata' WHEN tail THEN 'title_tail' ELSE 'body' END
+  FROM (SELECT *, (meta AND (record < 0 OR ((nt OR ni OR nd) AND body) OR (record >= 0 AND ((ni AND i) OR (nd AND d) OR (nt AND t AND i))))) OR (NOT meta AND NOT tail AND record < 0) AS opens
+   FROM (SELECT *, NOT meta AND record >= 0 AND NOT body AND t AND NOT i AND short AS tail
+    FROM (SELECT *, nt OR ni OR nd OR (reads AND gpa) AS meta FROM (SELECT *, reads AND degree AS nt, reads AND institution AS ni, reads AND dated AS nd
+     FROM (SELECT f.doc_id, r.n, r.line_index, f.record, f.body, f.t, f.i, f.d, r.degree, r.institution, r.dated, r.gpa, r.short, NOT (r.prose OR (f.record >= 0 AND f.body AND NOT r.explicit)) AS reads FROM f JOIN r ON r.doc_id = f.doc_id AND r.n = f.n + 1) a) b) c) g) h)
+ SELECT doc_id, line_index, record, role FROM f WHERE n > 0""")
 def education_records(spark, sf_dir):
     t = F.col("text")
     ev = X.line_evidence(_lines(spark, sf_dir)).withColumn("heading_no", F.lit(0)).withColumn("row", F.col("line_index"))
@@ -687,7 +833,12 @@ def lines_without_dates(spark, sf_dir):
     return li.select("doc_id", "line_index", F.regexp_replace(X.residual_text(t, C.date_spans(t)), r"\s+", " ").alias("rest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, {_BODY}, bl AS (SELECT *, {_BULLETED('text')} AS bullet FROM body), ct AS (SELECT *, CASE WHEN bullet THEN {_MARKER('text')} ELSE text END AS bare, CASE WHEN bullet THEN 'bullet' WHEN subheading THEN 'subheading' ELSE 'paragraph' END AS kind FROM bl),
+ kept AS (SELECT * FROM ct WHERE NOT bullet OR bare <> ''), {_BRACKETS.format(keys='doc_id, heading_no', text='bare', rows='kept')},
+ f AS (SELECT doc_id, heading_no, n, line_index, page, bare, x0, x1, y1, total - least(0, low) AS depth, 0 AS since, 0 AS block, kind, kind AS first_kind FROM br WHERE n = 1
+  UNION ALL SELECT doc_id, heading_no, n, line_index, page, bare, x0, x1, y1, CASE WHEN go THEN {_DEPTH.format(d='depth').replace('o.', '')} ELSE total - least(0, low) END, CASE WHEN go THEN {_SINCE.format(d='depth', s='since').replace('o.', '')} ELSE 0 END, CASE WHEN go THEN block ELSE block + 1 END, kind, CASE WHEN go THEN first_kind ELSE kind END
+   FROM (SELECT o.doc_id, o.heading_no, o.n, o.line_index, o.page, o.bare, o.x0, o.x1, o.y1, o.total, o.low, o.kind, f.depth, f.since, f.block, f.first_kind, o.kind = 'paragraph' AND f.first_kind <> 'subheading' AND {_ON.format(gap='5')} AS go FROM f JOIN br o ON o.doc_id = f.doc_id AND o.heading_no = f.heading_no AND o.n = f.n + 1) j)
+ SELECT doc_id, heading_no, block, arg_min(first_kind, line_index) AS kind, string_agg(bare, chr(10) ORDER BY line_index) AS text, min(page) AS page FROM f GROUP BY doc_id, heading_no, block""")
 def section_blocks(spark, sf_dir):
     li = _lines(spark, sf_dir)
     body = resume.body_lines(li, R.routed_headings(li, _headings(li)), _widths(li)).withColumns({"bullet": F.col("text").rlike(P.BULLET), "paragraph_gap": F.lit(5.0), "line_height": F.lit(10.0)})
@@ -711,11 +862,10 @@ def header_names(spark, sf_dir):
     return H.best_name(found, li).select("doc_id", "line_index", F.col("text").alias("name"))
 
 
-@query(f"""WITH {LINES}, {_FOUND}, e AS (SELECT fo.*, l.text AS line, trim(split_part(l.text, '|', 1), ' ,;:-') AS seg FROM fo JOIN lines l USING (doc_id, line_index) WHERE kind = 'location' AND l.text NOT LIKE '•%'),
+@query(f"""WITH {LINES}, {_FOUND}, e AS (SELECT fo.*, l.text AS line, trim(split_part(l.text, '|', 1), ' ,;:-') AS seg FROM fo JOIN lines l USING (doc_id, line_index) WHERE kind = 'location'),
  g AS (SELECT doc_id, line_index, confidence, CASE WHEN regexp_matches(seg, '^[^\\d@]{{2,48}},\\s*[^\\d@]{{2,48}}$') THEN seg ELSE text END AS t FROM e) SELECT doc_id, arg_max(line_index, (regexp_matches(t, '^[^\\d@]{{2,48}},\\s*[^\\d@]{{2,48}}$'), -line_index)) AS line_index, arg_max(t, (regexp_matches(t, '^[^\\d@]{{2,48}},\\s*[^\\d@]{{2,48}}$'), -line_index)) AS place FROM g GROUP BY doc_id""")
 def header_locations(spark, sf_dir):
     li, found = _found(spark, sf_dir)
-    li = li.where(~F.col("text").startswith("•"))
     return H.best_location(H.expanded(found.where("kind = 'location'"), li)).select("doc_id", "line_index", F.col("text").alias("place"))
 
 
@@ -726,9 +876,9 @@ def fallback_names(spark, sf_dir):
     return H.fallback_name(li, li.where(F.col("text").contains("@mail"))).select("doc_id", "line_index")
 
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, line_index, trim(unnest(string_split(text, ' | ')), ' ,;:-') AS seg FROM lines WHERE text NOT LIKE '•%'), m AS (SELECT * FROM s WHERE regexp_matches(seg, '^[^\\d@]{{2,48}},\\s*[^\\d@]{{2,48}}$')) SELECT doc_id, min(line_index) AS line_index, arg_min(seg, line_index) AS place FROM m GROUP BY doc_id""")
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, line_index, trim(unnest(string_split(text, ' | ')), ' ,;:-') AS seg FROM lines), m AS (SELECT * FROM s WHERE regexp_matches(seg, '^[^\\d@]{{2,48}},\\s*[^\\d@]{{2,48}}$')) SELECT doc_id, min(line_index) AS line_index, arg_min(seg, line_index) AS place FROM m GROUP BY doc_id""")
 def fallback_locations(spark, sf_dir):
-    li = _lines(spark, sf_dir).where(~F.col("text").startswith("•"))
+    li = _lines(spark, sf_dir)
     return H.fallback_location(li).select("doc_id", "line_index", F.col("text").alias("place"))
 
 
@@ -759,9 +909,9 @@ def link_words(spark, sf_dir):
     return a.select("doc_id", "line_index", F.col("a.start").alias("start"), F.col("a.end").alias("stop"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_index, CASE WHEN text LIKE '%@mail%' THEN '' ELSE text END AS masked FROM lines WHERE line_index < 3""")
+@query(f"""WITH {LINES} SELECT doc_id, line_index, CASE WHEN text LIKE '%@mail%' THEN '' ELSE text END AS masked FROM lines""")
 def lines_for_models(spark, sf_dir):
-    li = _lines(spark, sf_dir).where("line_index < 3")
+    li = _lines(spark, sf_dir)
     claims = C.pattern_claims(li, P.EMAIL, "email").unionByName(C.pattern_claims(li.where(F.col("text").contains("@mail")), P.PHONE, "phone"))
     m = H.masked_lines(li, claims)
     return m.select("doc_id", "line_index", F.when(F.col("text").contains("@mail"), F.btrim("masked", F.lit(" |"))).otherwise(F.col("masked")).alias("masked"))
@@ -875,6 +1025,17 @@ def macro_score(spark, sf_dir):
     return E.macro(E.scores(c, ["source"])).select(F.round("macro_f1", 6).alias("macro_f1"), "fields")
 
 
+@query("""WITH c AS (SELECT source, sum(CASE WHEN quality = 1 AND n_chars >= 500 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN quality = 0 AND n_chars >= 500 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN quality = 1 AND n_chars < 500 THEN 1 ELSE 0 END) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY source),
+ s AS (SELECT source, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c) SELECT source AS field, round(f1 + CASE WHEN length(source) % 2 = 0 THEN 0.01 ELSE -0.01 END, 6) AS floor, round(f1, 6) AS f1 FROM s WHERE length(source) % 2 = 0""")
+def score_regressions(spark, sf_dir):
+    """Sources whose score is below a floor set above every second one."""
+    j = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    hit, good = F.col("n_chars") >= 500, F.col("quality") == 1
+    now = E.scores(j.select("source", (hit & good).cast("int").alias("tp"), (hit & ~good).cast("int").alias("fp"), (~hit & good).cast("int").alias("fn")), ["source"]).select(F.col("source").alias("field"), "f1")
+    floor = now.select("field", (F.col("f1") + F.when(F.length("field") % 2 == 0, 0.01).otherwise(-0.01)).alias("f1"))
+    return E.regressions(now, floor).select("field", F.round("floor", 6).alias("floor"), F.round("f1", 6).alias("f1"))
+
+
 @query("""WITH w AS (SELECT l_orderkey AS doc_id, list(DISTINCT 'v' || CAST(l_partkey % 9 AS STRING)) AS want, list(DISTINCT 'v' || CAST(l_suppkey % 9 AS STRING)) AS got FROM lineitem GROUP BY l_orderkey)
  SELECT doc_id, len(list_intersect(want, got)) AS tp, len(got) - len(list_intersect(want, got)) AS fp, len(want) - len(list_intersect(want, got)) AS fn FROM w""")
 def matched_values(spark, sf_dir):
@@ -893,10 +1054,10 @@ def normal_values(spark, sf_dir):
 # -- sources and sinks ---------------------------------------------------------------
 
 
-@query("""WITH w AS (SELECT l_orderkey % 500 AS doc_id, 1 + l_linenumber % 2 AS page, l_linenumber AS line_num, 'w' || CAST(l_partkey % 50 AS STRING) AS text, (l_quantity * 72.0 / 300) AS h, CASE WHEN l_suppkey % 9 = 0 THEN -1.0 ELSE l_tax * 1000 END AS conf, l_extendedprice / 100 AS x, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS word_num FROM lineitem WHERE l_partkey % 50 <> 0)
+@query("""WITH w AS (SELECT l_orderkey - l_orderkey % 40 AS doc_id, 1 + l_linenumber % 2 AS page, l_linenumber AS line_num, 'w' || CAST(l_partkey % 50 AS STRING) AS text, (l_quantity * 72.0 / 300) AS h, CASE WHEN l_suppkey % 9 = 0 THEN -1.0 ELSE l_tax * 1000 END AS conf, l_extendedprice / 100 AS x, row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS word_num FROM lineitem WHERE l_partkey % 50 <> 0)
  SELECT doc_id, page, line_num, string_agg(text, ' ' ORDER BY word_num) AS text, round(median(h), 6) AS size, round(avg(CASE WHEN conf >= 0 THEN conf END), 4) AS confidence FROM w GROUP BY doc_id, page, line_num""")
 def ocr_lines(spark, sf_dir):
-    tsv = spark.sql("SELECT l_orderkey % 500 AS doc_id, 5 AS level, 1 + l_linenumber % 2 AS page_num, 0 AS block_num, 0 AS par_num, l_linenumber AS line_num, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS word_num, l_extendedprice / 100 AS left, 10D AS top, 5D AS width, l_quantity AS height, CASE WHEN l_suppkey % 9 = 0 THEN -1D ELSE l_tax * 1000 END AS conf, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE concat('w', l_partkey % 50) END AS text FROM {li}", li=_table(spark, sf_dir, "lineitem"))
+    tsv = spark.sql("SELECT l_orderkey - l_orderkey % 40 AS doc_id, 5 AS level, 1 + l_linenumber % 2 AS page_num, 0 AS block_num, 0 AS par_num, l_linenumber AS line_num, CAST(row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS word_num, l_extendedprice / 100 AS left, 10D AS top, 5D AS width, l_quantity AS height, CASE WHEN l_suppkey % 9 = 0 THEN -1D ELSE l_tax * 1000 END AS conf, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE concat('w', l_partkey % 50) END AS text FROM {li}", li=_table(spark, sf_dir, "lineitem"))
     return ocr.lines(ocr.words(tsv)).select("doc_id", "page", "line_num", "text", F.round("size", 6).alias("size"), F.round("confidence", 4).alias("confidence"))
 
 
@@ -966,10 +1127,23 @@ def legend_counts(spark, sf_dir):
     return output.legend(boxes).join(boxes.groupBy("doc_id", "page", "label").agg(F.min("stroke").alias("thinnest")), ["doc_id", "page", "label"])
 
 
-@query(f"""WITH {BOXES}, v AS (SELECT doc_id, count(DISTINCT page) AS n FROM boxes WHERE NOT ({HORIZONTAL}) AND trim(text) <> '' GROUP BY doc_id) SELECT d.doc_id, n IS NULL AS supported, coalesce(n, 0) AS warnings FROM (SELECT DISTINCT doc_id FROM boxes) d LEFT JOIN v USING (doc_id)""")
-def layout_report(spark, sf_dir):
+_WARNINGS = " UNION ALL ".join(f"SELECT doc_id, page, '{kind}' AS kind FROM ({ORACLES[name]}) {kind}" for kind, name in (("multiple_columns", "column_gutters"), ("vertical_text", "turned_text"), ("overlapping_text", "text_over_text"), ("text_in_graphics", "text_in_images"), ("nested_table", "nested_rules")))
+
+
+def _warnings(spark, sf_dir):
+    """Every reason why a page's order may be a guess, from the relations that the detectors' queries use."""
     b = _boxes(spark, sf_dir)
-    w = L.vertical_text(b)
+    return b, L.unsupported_layouts(b, _pages(b), _image_boxes(b), _rule_boxes(b), ST.gutters(b, _widths(b)))
+
+
+@query(_WARNINGS)
+def layout_warnings(spark, sf_dir):
+    return _warnings(spark, sf_dir)[1].select("doc_id", "page", "kind")
+
+
+@query(f"WITH w AS ({_WARNINGS}), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), {BOXES} SELECT d.doc_id, n IS NULL AS supported, coalesce(n, 0) AS warnings FROM (SELECT DISTINCT doc_id FROM boxes) d LEFT JOIN n USING (doc_id)")
+def layout_report(spark, sf_dir):
+    b, w = _warnings(spark, sf_dir)
     return output.warnings_report(b.select("doc_id").distinct(), w).select("doc_id", "supported", F.size("warnings").cast("long").alias("warnings"))
 
 
@@ -981,18 +1155,20 @@ def extracted_resumes(spark, sf_dir):
 
 
 # the flagship: contacts of documents, in order of precedence, as JSON with nulls kept
-@query(f"""WITH {DOC_LINES}, e AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_.-]+\\.[A-Za-z]{{2,}}')) AS m FROM dl) x GROUP BY ALL)
- SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS emails FROM documents d LEFT JOIN e USING (doc_id)""")
+@query(f"""WITH {DOC_LINES}, e AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT m, ',' ORDER BY m) AS found FROM (SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_.-]+\\.[A-Za-z]{{2,}}')) AS m FROM dl) x GROUP BY ALL)
+ SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS emails, coalesce(found, '') AS found FROM documents d LEFT JOIN e USING (doc_id)""")
 def document_contacts(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id")
-    r = document_profiles(spark, sf_dir)
-    emails = F.coalesce(F.size(F.from_json(F.get_json_object("json", "$.header_profile.emails"), "array<string>")), F.lit(0))
-    return docs.join(r, "doc_id", "left").select("doc_id", F.when(F.get_json_object("json", "$.header_profile.emails").isNull(), 0).otherwise(emails).alias("emails"))
+    emails = F.coalesce(F.col("resume.header_profile.emails"), F.expr("cast(array() as array<string>)"))
+    return _profiles(spark, sf_dir).select("doc_id", F.size(emails).alias("emails"), F.array_join(F.array_sort(F.array_distinct(emails)), ",").alias("found"))
 
 
 def document_profiles(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("doc_id", output.as_json(F.col("resume")).alias("json"))
+
+
+def _profiles(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     lines = _doc_lines(spark, sf_dir).where(~T.is_blank(F.col("text")))
     asked = C.pattern_claims(lines, P.EMAIL, "email", order=1).unionByName(C.pattern_claims(lines, P.PHONE, "phone", order=2))
     profile = output.header_profile(C.resolve(asked))
-    return output.resumes(docs, [profile]).select("doc_id", output.as_json(F.col("resume")).alias("json"))
+    return output.resumes(docs, [profile])

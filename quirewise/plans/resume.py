@@ -85,7 +85,7 @@ def grouped_sections(body: DataFrame) -> DataFrame:
     return sections.first_of_type(by)
 
 
-def measured(lines: DataFrame) -> DataFrame:
+def measured(lines: DataFrame, widths: DataFrame) -> DataFrame:
     """Adds the document's line_height, paragraph_gap and tolerance of a row's baselines, and the visual row with
     the line's place in it."""
     d = stats.doc_stats(stats.page_stats(lines.withColumn("line_no", F.col("line_index"))))
@@ -93,8 +93,11 @@ def measured(lines: DataFrame) -> DataFrame:
     d = d.select("doc_id", F.col("median_line_height").alias("line_height"), limits["paragraph_gap"].alias("paragraph_gap"), limits["baseline_tolerance"].alias("tolerance"))
     full = lines.join(d, "doc_id")
     based = full if "baseline" in lines.columns else full.withColumn("baseline", F.col("bbox.y1"))
+    # a row is parted where a gutter between columns runs
+    wide = staged(stats.gutters(lines, widths), "gutters")
+    by_doc = wide.groupBy("doc_id").agg(F.collect_list(F.struct("page", "left", "right", "top", "bottom")).alias("_gutters"))
     w = Window.partitionBy("doc_id", "row")
-    rows = layout.visual_rows(based, "tolerance").select("doc_id", "line_index", "row", F.count("*").over(w).alias("row_size"), (F.row_number().over(w.orderBy("x0", "line_index")) - 1).alias("row_pos"))
+    rows = layout.visual_rows(based.join(by_doc, "doc_id", "left"), "tolerance", "_gutters").select("doc_id", "line_index", "row", F.count("*").over(w).alias("row_size"), (F.row_number().over(w.orderBy("x0", "line_index")) - 1).alias("row_pos"))
     return based.join(rows, ["doc_id", "line_index"])
 
 
@@ -233,7 +236,7 @@ def resumes(lines: DataFrame, widths: DataFrame, headings: DataFrame | None = No
     profile = header_profile(staged(header_lines(lines, headings), "header"), found)
     routed = staged(structure.routed_headings(lines, headings), "routed")
     # every section reads these lines
-    body = staged(body_lines(staged(measured(lines), "lines"), routed, widths), "body")
+    body = staged(body_lines(staged(measured(lines, widths), "lines"), routed, widths), "body")
     minor = staged(grouped_sections(body), "minor")
     # one row a document with a column a section, so that one join brings them all
     wide = minor.groupBy("doc_id").agg(*[F.first(F.when(F.col("section_type") == m, F.col("entries")), ignorenulls=True).alias(m) for m in output.MINOR])

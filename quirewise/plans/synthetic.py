@@ -1,7 +1,7 @@
 """Relations of documents made from the star schema by one expression that Spark and DuckDB both run.
 
 The tables hold few lines with the shapes that the operators look for, so lines, boxes, glyphs and claims
-are derived from orders and line items. ``frame`` runs a relation in Spark; ``sql`` gives its text for a CTE.
+are derived from orders and line items; a larger scale has more documents, not longer ones. ``frame`` runs a relation in Spark; ``sql`` gives its text for a CTE.
 """
 
 from __future__ import annotations
@@ -44,16 +44,16 @@ RELATIONS = {
     SELECT doc_id, page, line_no, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x0 + w AS DOUBLE) AS x1, CAST(y0 + h AS DOUBLE) AS y1, CAST(size AS DOUBLE) AS size, bold, CAST(CASE WHEN k % 11 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS dir_x, CAST(CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS dir_y,
       CASE WHEN k % 5 = 0 THEN 'Report 2024 page ' || CAST(page AS STRING) WHEN k % 13 = 0 THEN ' ' ELSE 'line of ' || CAST(k % 4 AS STRING) || ' words' END AS text
     FROM (SELECT doc_id, CAST(1 + line_no % 3 AS INT) AS page, line_no, k, 40.0 + 250.0 * (k % 2) + (k % 7) AS x0, 30.0 + 12.0 * line_no + (k % 3) - CASE WHEN k % 19 = 0 THEN 33.0 ELSE 0.0 END AS y0, 100.0 + q AS w, 9.0 + k % 4 AS h, 9.0 + k % 4 AS size, k % 3 = 0 AS bold
-      FROM (SELECT l_orderkey % 400 AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey % 400 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no, l_partkey AS k, l_quantity AS q FROM [lineitem]) AS a) AS b""",
+      FROM (SELECT l_orderkey - l_orderkey % 40 AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no, l_partkey AS k, l_quantity AS q FROM [lineitem]) AS a) AS b""",
     # glyphs of lines, with gaps
     "glyphs": """
     SELECT doc_id, 1 AS page, line_no, CAST(tok_no - tok_no % 5 AS INT) AS span_no, CAST(tok_no AS INT) AS tok_no, CASE WHEN k % 9 = 0 THEN ' ' ELSE chr(CAST(97 + k % 26 AS INT)) END AS text,
       CAST(6.0 * tok_no + 0.5 * (k % 8) AS DOUBLE) AS x0, CAST(6.0 * tok_no + 0.5 * (k % 8) + 5.0 AS DOUBLE) AS x1, CAST(100 AS DOUBLE) AS y0, CAST(110 AS DOUBLE) AS y1, CAST(CASE WHEN k % 17 = 0 THEN 104 ELSE 108 END AS DOUBLE) AS origin_y, CASE WHEN k % 4 = 0 THEN 'B' ELSE 'A' END AS font, CAST(10 AS DOUBLE) AS size, k % 4 = 0 AS bold, CAST(5 AS DOUBLE) AS char_width
-    FROM (SELECT l_orderkey % 300 AS doc_id, CAST(l_orderkey % 900 AS INT) AS line_no, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey % 300, l_orderkey % 900 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS tok_no FROM [lineitem]) AS a""",
+    FROM (SELECT l_orderkey - l_orderkey % 48 AS doc_id, CAST(l_orderkey % 48 - l_orderkey % 16 AS INT) AS line_no, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS tok_no FROM [lineitem]) AS a""",
     # claims that overlap on lines
     "claims": """
     SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS line_index, 'k' || CAST(l_suppkey % 3 AS STRING) AS kind, CAST(l_partkey % 60 AS INT) AS start, CAST(l_partkey % 60 + 1 + l_quantity % 20 AS INT) AS "end", 'x' AS text,
-      CAST(1 + l_suppkey % 6 AS INT) AS tier, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq, CASE l_suppkey % 4 WHEN 0 THEN 'regex' WHEN 1 THEN 'geometry_ner_reconstruction' WHEN 2 THEN 'geometry_semantic' ELSE 'job_title_phrase' END AS method
+      CAST(1 + l_suppkey % 6 AS INT) AS tier, CAST(l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq, CASE l_suppkey % 4 WHEN 0 THEN 'regex' WHEN 1 THEN 'geometry_ner_reconstruction' WHEN 2 THEN 'geometry_semantic' ELSE 'job_title_phrase' END AS method
     FROM [lineitem]""",
 }
 _TABLE = re.compile(r"\[(\w+)\]")
