@@ -189,10 +189,10 @@ class _Parts:
 
 
 def _sides(pdf):
-    """A tile's members once each, and the positions of its two sides among them."""
-    members = pdf.drop_duplicates("rep").reset_index(drop=True)
-    place = {r: i for i, r in enumerate(members["rep"])}
-    return members, *(np.unique([place[r] for r in pdf.loc[pdf["side"] == n, "rep"]]).astype(np.int64) for n in (0, 1))
+    """A tile's members, and the positions of its two sides among them."""
+    members = pdf.reset_index(drop=True)
+    side = members["side"].to_numpy()
+    return members, np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
 
 def _suspects(key, pdf):
@@ -206,7 +206,7 @@ def _suspects(key, pdf):
         near = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= SCREEN * sig.shape[1]]
         found[near] = True
         found[i] |= len(near) > 0
-    return pdf.loc[pdf["rep"].isin(set(members["rep"][found])), ["key", "x", "y", "rep", "side", "linked"]]
+    return members.loc[found, ["key", "x", "y", "rep", "side", "linked"]]
 
 
 def _tile(threshold: float):
@@ -261,19 +261,37 @@ def _divided(members: DataFrame) -> DataFrame:
     return found.select("_one.key", F.col("_one._largest.linked").alias("_most"), F.expr(blocks.format("n - _one._largest.n")).alias("x_blocks"), F.expr(blocks.format("n")).alias("y_blocks"))
 
 
-def _more_links(state: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+def _few(table: DataFrame, tag: str) -> DataFrame:
+    """Written out, and broadcast where its counted rows (8 to 24 bytes each) are few."""
+    table = materialize(table, tag)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _of(words: DataFrame, column: str, reps: DataFrame) -> DataFrame:
+    """(rep, column) of the named word sequences, once each: only these are moved."""
+    return materialize(words.select("rep", column).join(_few(reps.distinct(), "named"), "rep", "left_semi").dropDuplicates(["rep"]), column)
+
+
+def _more_links(state: DataFrame, sigs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between the parts of divided buckets, from their members (key, rep, linked).
 
     Members of all parts but the largest are compared with all members, in tiles of up to TILE by TILE: first
-    by signatures, which decide what is checked, then by the sets of those that may be alike."""
+    by signatures, which decide what is checked, then by the sets of those that may be alike. ``side`` of a row
+    is 0, 1 or 2 for both."""
     state = state.join(materialize(_divided(state), "open"), "key")
     block = "cast(pmod(xxhash64(rep), {}) as int)"
-    left = state.where("linked != _most").select("key", F.expr(block.format("x_blocks")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y"), "rep", F.lit(0).alias("side"), "linked")
-    right = state.select("key", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.expr(block.format("y_blocks")).alias("y"), "rep", F.lit(1).alias("side"), "linked")
-    tiles = left.unionByName(right).join(sketch.select("rep", "sig"), "rep").select("key", "x", "y", "rep", "side", "linked", "sig")
+    state = state.withColumns({"_x": F.expr(block.format("x_blocks")), "_y": F.expr(block.format("y_blocks")), "_rest": F.expr("linked != _most")})
+    left = state.where("_rest").select("key", F.col("_x").alias("x"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y"), "rep", "linked", "_y")
+    left = left.select("key", "x", "y", "rep", F.when(F.col("y") == F.col("_y"), 2).otherwise(0).alias("side"), "linked")
+    right = state.select("key", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.col("_y").alias("y"), "rep", "linked", "_x", "_rest").where("NOT (_rest AND x = _x)")
+    tiles = left.unionByName(right.select("key", "x", "y", "rep", F.lit(1).alias("side"), "linked"))
+    tiles = tiles.join(sigs, "rep").select("key", "x", "y", "rep", "side", "linked", "sig")
     suspects = materialize(tiles.groupBy("key", "x", "y").applyInPandas(_suspects, "key long, x int, y int, rep long, side int, linked long"), "suspects")
-    tiles = suspects.join(sketch.select("rep", "sig", "sets"), "rep").select("key", "x", "y", "rep", "side", "linked", "sig", "sets")
-    return materialize(tiles.groupBy("key", "x", "y").applyInPandas(_tile(threshold), "a long, b long"), "more")
+    sets = _of(words, "sets", suspects.select("rep"))
+    tiles = suspects.join(sigs, "rep").join(sets, "rep").select("key", "x", "y", "rep", "side", "linked", "sig", "sets")
+    more = materialize(tiles.groupBy("key", "x", "y").applyInPandas(_tile(threshold), "a long, b long"), "more")
+    release(sets, suspects)
+    return more
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,25 +353,28 @@ def _shared(words: DataFrame) -> DataFrame:
     return members
 
 
-def _checked(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+def _checked(pairs: DataFrame, sigs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of at least ``threshold``. Signatures rule out most of the others before the shingle
     sets are moved; an a of many is dealt to as many tasks as its pairs need, most have a few."""
 
-    def beside(pairs, column):
+    def beside(pairs, other, column):
         leads = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
-        other = sketch.select("rep", F.col(column).alias("_x"))
-        with_b = pairs.join(leads, "a").withColumn("_salt", F.pmod(F.hash("b"), F.col("salts"))).join(other.withColumnsRenamed({"rep": "b", "_x": f"{column}_b"}), "b")
-        leaders = other.join(leads.withColumnRenamed("a", "rep"), "rep").select(F.col("rep").alias("a"), F.col("_x").alias(f"{column}_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
+        pairs = pairs.join(leads, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).alias("_salt"))
+        with_b = other.select(F.col("rep").alias("b"), F.col(column).alias(f"{column}_b")).join(_few(pairs, "dealt"), "b")
+        leaders = other.select(F.col("rep").alias("a"), F.col(column).alias(f"{column}_a")).join(leads, "a").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
         return with_b.join(leaders, ["a", "_salt"])
 
     def screen(batches):
         for batch in batches:
             n = batch.num_rows
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, K) if n else np.empty((0, K), np.uint8) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, K) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= SCREEN))
 
-    near = materialize(beside(pairs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(screen, "a long, b long"), "screened")
-    return materialize(_star_check(beside(near, "sets"), threshold).where("ok").select("a", "b"), "stars")
+    near = materialize(beside(pairs, sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(screen, "a long, b long"), "screened")
+    sets = _of(words, "sets", near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))))
+    links = materialize(_star_check(beside(near, sets, "sets"), threshold).where("ok").select("a", "b"), "stars")
+    release(sets, near)
+    return links
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
@@ -365,16 +386,14 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     words = sketched.where(F.size("bands") > 0)
     members = _shared(words)
     stars = materialize(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    named = materialize(stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct(), "named")
-    few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    sketch = materialize(words.select("rep", "sig", "sets").join(few, "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
-    links = _checked(stars, sketch, threshold)
+    sigs = _of(words, "sig", stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))))
+    links = _checked(stars, sigs, words, threshold)
 
     # buckets of three and more whose members the stars left in several parts
     part = components(links)
     state = members.select("key", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("linked"))
     many = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 2").select("key")
-    more = _more_links(materialize(state.join(many, "key", "left_semi"), "state"), sketch, threshold)
+    more = _more_links(materialize(state.join(many, "key", "left_semi"), "state"), sigs, words, threshold)
 
     # parts that further links join, and so the class of each text
     ends = more.join(part.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(part.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -383,7 +402,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     label = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left").select(F.col("node").alias("rep"), F.coalesce("_to", "label").alias("label"))
     keyed = sketched.select("doc_id", "key", "rep")
     classed = materialize(keyed.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("doc_id", "key", "label"), "classed")
-    release(sketched, sketch, members, stars, named)
+    release(sketched, sigs, members, stars)
     own = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))
     # written, so that the join below sees plain tables, whose hot labels Spark can split
     groups = materialize(classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(own).alias("_least")), "classes")
