@@ -10,6 +10,11 @@ from ..functions import patterns as P
 
 # Fixed value: a shorter text inside a longer one counts from this length.
 CONTAINED = 6
+# What is scored of a record.
+SCALARS = ("name", "location", "date_of_birth", "age", "gender", "marital_status", "visa_status", "nationality", "current_residence")
+LISTS = ("job_titles", "emails", "phones", "urls")
+ENTRIES = {"experience": ("job_titles", "companies", "dates", "locations"), "education": ("titles", "institutions", "dates")}
+ROUTED = ("summary", "experience", "education", "skills", "projects", "certifications", "licenses", "tools_equipment", "languages", "volunteering", "awards", "publications", "references", "interests", "others")
 _DASHES = "‐‑‒–—―−"
 
 
@@ -64,6 +69,36 @@ def field_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("doc_id", "field", match_counts(F.coalesce("want", none), F.coalesce("got", none)).alias("c")).select("doc_id", "field", "c.*")
 
 
+def record_values(records: DataFrame) -> DataFrame:
+    """(doc_id, field, seq, value) of records or labels (doc_id, json): every scored text in its order, the
+    sections that hold something (a label states them as sections_present) and a value for each entry.
+
+    A url counts as its address, else as its text. Values are not yet normalised; a null or broken record has
+    none."""
+    texts, entries = "array<string>", {k: "array<struct<" + ",".join(f"{f}:array<string>" for f in fields) + ">>" for k, fields in ENTRIES.items()}
+    profile = "struct<" + ",".join([*(f"{n}:string" for n in SCALARS), *(f"{n}:{texts}" for n in LISTS)]) + ">"
+    r = records.select("doc_id", "json", F.from_json("json", f"struct<header_profile:{profile},sections_present:{texts}," + ",".join(f"{k}:{t}" for k, t in entries.items()) + ">").alias("r"))
+    p = F.col("r.header_profile")
+    address = lambda v: F.when(v.startswith("{"), F.coalesce(F.nullif(F.get_json_object(v, "$.url"), F.lit("")), F.get_json_object(v, "$.text"))).otherwise(v)
+    filled = [F.when(~F.coalesce(F.get_json_object("json", f"$.{n}"), F.lit("")).isin("", "[]", "{}"), F.lit(n)) for n in ROUTED]
+    lists = {f"header.{n}": F.array(p[n]) for n in SCALARS} | {f"header.{n}": F.transform(p[n], address) if n == "urls" else p[n] for n in LISTS}
+    lists["section_routing"] = F.coalesce("r.sections_present", F.array_compact(F.array(*filled)))
+    for k, fields in ENTRIES.items():
+        lists |= {f"{k}.{f}": F.flatten(F.array_compact(F.col(f"r.{k}.{f}"))) for f in fields}
+        lists[f"{k}.entry_count"] = F.transform(F.coalesce(f"r.{k}", F.array().cast(entries[k])), lambda e, i: F.concat(F.lit("entry-"), i.cast("string")))
+    each = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(v, F.array().cast(texts)).alias("values")) for n, v in lists.items()])
+    rows = r.where("r is not null").select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.field", F.posexplode("f.values").alias("seq", "value"))
+    return rows.where("value is not null")
+
+
+def scorecard(labels: DataFrame, results: DataFrame) -> DataFrame:
+    """(field, tp, fp, fn, precision, recall, f1) of results against labels (doc_id, json), over the documents
+    that have a label; ``macro`` sums it up."""
+    known = labels.select("doc_id").distinct()
+    folded = lambda df: record_values(df).withColumn("value", normal(F.col("value")))
+    return scores(field_counts(folded(labels), folded(results.join(known, "doc_id", "left_semi"))), ["field"])
+
+
 def scores(counts: DataFrame, by: list[str]) -> DataFrame:
     """Sums, precision, recall and F1; what has no predictions is precise, what has no labels is complete."""
     s = counts.groupBy(*by).agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])

@@ -1154,6 +1154,15 @@ def extracted_resumes(spark, sf_dir):
     return resume.resumes(li, _widths(li)).select("doc_id", output.as_json(F.col("resume")).alias("json"))
 
 
+@query("""WITH n AS (SELECT c_custkey, c_custkey % 2 = 0 AS even, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer), c AS (SELECT count(*) FILTER (even AND has) AS tp, count(*) FILTER (NOT even AND has) AS fp, count(*) FILTER (NOT even OR NOT has) AS fn FROM n)
+SELECT 'section_routing' AS field, tp, fp, fn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def section_routing_scores(spark, sf_dir):
+    """Records scored against labels that state projects for every second customer, skills for the others."""
+    results = _resumes(spark, sf_dir).select("doc_id", output.as_json(F.col("resume")).alias("json"))
+    stated = F.when(F.col("doc_id") % 2 == 0, '{"sections_present": ["projects"]}').otherwise('{"sections_present": ["skills"]}')
+    return E.scorecard(results.select("doc_id", stated.alias("json")), results).withColumns({m: F.round(m, 6) for m in ("precision", "recall", "f1")})
+
+
 # the flagship: contacts of documents, in order of precedence, as JSON with nulls kept
 @query(f"""WITH {DOC_LINES}, e AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT m, ',' ORDER BY m) AS found FROM (SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_.-]+\\.[A-Za-z]{{2,}}')) AS m FROM dl) x GROUP BY ALL)
  SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS emails, coalesce(found, '') AS found FROM documents d LEFT JOIN e USING (doc_id)""")

@@ -212,3 +212,24 @@ def test_resume_sections(spark):
     assert [(e["titles"], e["institutions"], e["dates"], e["gpa"]) for e in r["education"]] == [(["Bachelor of Science, North University"], ["Bachelor of Science, North University"], ["2012"], ["GPA: 3.5/4.0"])]
     assert r["skills"] == [{"subheading": "Tools", "paragraphs": ["hammer, saw"], "bullets": [], "urls": []}]
     assert r["interests"] is not None and r["awards"] is None
+
+
+def test_scorecard(spark):
+    label = '{"header_profile": {"name": "Ann Lee", "emails": ["a@b.cc"], "urls": ["https://x.y/z"]}, "sections_present": ["experience", "skills"], "experience": [{"job_titles": ["Analyst"], "dates": ["2019 - 2020"]}, {"companies": ["Big Corp"]}]}'
+    result = '{"header_profile": {"name": "ann  LEE", "emails": ["a@b.cc", "q@b.cc"], "urls": [{"text": "x", "url": "https://x.y/z"}], "age": null}, "skills": [], "experience": [{"job_titles": ["Senior Analyst"], "companies": [], "dates": ["2019 – 2020"], "locations": ["Rome"]}], "education": null}'
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id string, json string")
+    got = {r["field"]: (r["tp"], r["fp"], r["fn"]) for r in evaluate.scorecard(rows(("1", label), ("2", None)), rows(("1", result), ("3", result))).collect()}
+    assert got == {
+        "header.name": (1, 0, 0), "header.emails": (1, 1, 0), "header.urls": (1, 0, 0), "section_routing": (1, 0, 1), "experience.job_titles": (1, 0, 0),
+        "experience.companies": (0, 0, 1), "experience.dates": (1, 0, 0), "experience.locations": (0, 1, 0), "experience.entry_count": (1, 0, 1),
+    }
+
+
+def test_class_scores_in_blocks(spark, monkeypatch):
+    cand = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "k int, vector array<float>")
+    refs = spark.createDataFrame([(f"c{i % 4}", i, [0.1 * i, 1.0 - 0.05 * i]) for i in range(20)], "class string, ord int, vector array<float>")
+    rows = lambda: sorted(map(tuple, vectors.class_scores(cand, refs, ["k"]).select("k", "class", "ord", "score").collect()))
+    few = rows()
+    monkeypatch.setattr(vectors, "REFERENCE_ROWS", 5)
+    monkeypatch.setattr(vectors, "REFERENCE_BLOCK", 3)
+    assert rows() == few and len(few) == 36
