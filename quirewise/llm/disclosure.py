@@ -160,7 +160,8 @@ def personal_data(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> Data
         out = out.withColumn(name, column)
     kinds = len(KINDS)
     out = out.withColumn("_marked", F.expr(f"transform(filter(_found, x -> array_contains(_marks, xxhash64(lower(x.value)))), x -> named_struct('start', x.start, 'kind_no', {kinds + 1}, 'end', x.end, 'kind', '{ADDED[1]}'))"))
-    out = out.select("doc_id", "spans", "_marked").unionByName(found.where("_t is null").select("doc_id", "spans"), allowMissingColumns=True)
+    # written, as what follows reads the places several times over
+    out = materialize(out.select("doc_id", "spans", "_marked"), "places").unionByName(found.where("_t is null").select("doc_id", "spans"), allowMissingColumns=True)
     plain = "transform({}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))"
     out = out.withColumn("_all", F.expr("transform(spans, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind))"))
     out = out.withColumn("_all", F.expr("CASE WHEN size(_marked) > 0 THEN array_sort(concat(_all, _marked)) ELSE _all END"))

@@ -53,6 +53,8 @@ def kdtree_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     (null: below all); absent ones are left out. Null ids sort first. Repeated rows are kept, each with its
     own slot; they may be divided like any group. An empty table gives no rows. Other columns are ignored.
     """
+    if not (shards or target_bytes):
+        raise ValueError("give shards or target_bytes")
     spark = docs.sparkSession
     dims = [d for d in dims if d in docs.columns]
     rows = materialize(_metadata(docs, dims), "kdtree")

@@ -18,7 +18,8 @@ from .common import materialize
 DEGREE, BEAM, ALPHA = 28, 64, 1.2
 ENTRIES, SEARCH_BEAM = 31, 96
 SHARD = 3000
-QUERY_BLOCK = 512
+#: Queries that a copy of a shard serves.
+QUERY_BLOCK = 2048
 
 
 def _squares(points: np.ndarray, a: np.ndarray, ids: np.ndarray) -> np.ndarray:

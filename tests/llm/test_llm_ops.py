@@ -18,7 +18,7 @@ ODD = [
     (6, "!!! ???", "en", "a", 7), (7, "é" * 50 + "\n\ufeff\u200b  \n x  ", "fr", "c", 60), (8, "x" * 300_000, "en", "a", 300_000), (9, "word " * 60_000, "en", "a", 300_000), (-5, "negative id", "en", "a", 11),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("shard", "size", "spans", "score", "rep", "_row", "class_id", "topic", "tokens", "weight", "h", "at", "start", "held_out", "_t", "key")
+CLASH = ("shard", "size", "spans", "score", "rep", "_row", "class_id", "topic", "tokens", "weight", "h", "at", "start", "held_out", "_t", "key", "_id", "_key", "_probability", "_source", "_gone_id")
 
 
 def odd(spark, rows=ODD):
@@ -70,6 +70,8 @@ def test_kdtree_splits_hot_group_and_odd_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((x[0] is None, x[0] or 0) for x in ODD)
     check_shards(rows, 3)
     assert kdtree.kdtree_shards(odd(spark, []), shards=3).count() == 0
+    with pytest.raises(ValueError):
+        kdtree.kdtree_shards(hot)
     assert len({r["shard"] for r in kdtree.kdtree_shards(hot, target_bytes=50_000).collect()}) == round(3000 * 108 / 50_000)
 
 
@@ -736,3 +738,30 @@ def test_pipeline(spark, sf_dir, texts, duck):
     good = {d for (d,) in duck.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
     accepted = {r["doc_id"] for r in corpus_pipeline.quality_filter(spark, docs, sf_dir).select("doc_id").collect()}
     assert len(good & accepted) >= 0.98 * len(good)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    for rows in (ODD, []):
+        docs = odd(spark, rows)
+        names, before = docs.columns, len(rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), name)
+            assert docs.columns == names and docs.count() <= before, name
+            before = docs.count()
+        assert corpus_pipeline.token_output(spark, docs, sf_dir).count() == before
+
+
+def test_scratch_space_must_be_shared():
+    from types import SimpleNamespace
+
+    from quirewise.llm.common import scratch_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert scratch_dir(session("yarn", "hdfs:///x/"), "a").startswith("hdfs:///x/quirewise-a-")
+    assert scratch_dir(session("local[2]", None), "a").startswith("file:///")
+    with pytest.raises(ValueError):
+        scratch_dir(session("spark://host:7077", None), "a")
