@@ -5,6 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from quirewise.operators import evaluate
 from quirewise.operators import layout as L
 from quirewise.operators import sections as X
 from quirewise.operators import stats as ST
@@ -228,8 +229,8 @@ def test_scorecard(spark):
 def test_class_scores_in_blocks(spark, monkeypatch):
     cand = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "k int, vector array<float>")
     refs = spark.createDataFrame([(f"c{i % 4}", i, [0.1 * i, 1.0 - 0.05 * i]) for i in range(20)], "class string, ord int, vector array<float>")
-    rows = lambda: sorted(map(tuple, vectors.class_scores(cand, refs, ["k"]).select("k", "class", "ord", "score").collect()))
+    rows = lambda: sorted(map(tuple, V.class_scores(cand, refs, ["k"]).select("k", "class", "ord", "score").collect()))
     few = rows()
-    monkeypatch.setattr(vectors, "REFERENCE_ROWS", 5)
-    monkeypatch.setattr(vectors, "REFERENCE_BLOCK", 3)
+    monkeypatch.setattr(V, "REFERENCE_ROWS", 5)
+    monkeypatch.setattr(V, "REFERENCE_BLOCK", 3)
     assert rows() == few and len(few) == 36
