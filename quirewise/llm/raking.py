@@ -9,12 +9,15 @@ is then drawn by a hash of its id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
 DIMS = ("source", "lang", "topic")
+#: Up to so many cells are swept in one task, so many sweeps a table.
+FEW_CELLS, BLOCK = 100_000, 5
+NEARLY = 1 - 1e-9
 _U = "cast(conv(substr(md5(cast(coalesce(doc_id, -1) as string)), 1, 13), 16, 10) as double) / 4503599627370496D"
 
 
@@ -82,13 +85,13 @@ def _fit(base: DataFrame, alpha: float, sweeps: int, part: float, targets: dict
     raked = cells.select(*DIMS, "n", *kept, F.col("n").alias("w"))
     raked = _swept(materialize(raked, "raked"), sweeps, lambda d: F.when(F.col("_have") > 0, F.col("w") * F.col(f"_{d}") * F.lit(total) / F.col("_have")).otherwise(F.lit(0.0)), F.sum("w"))
     raked = raked.withColumn("weight", F.col("w") / F.col("n")).withColumn("w", F.col("w") * F.lit(part))
-    # under the bound: w may pass n, but counts for n
-    full = F.col("w") >= F.col("n")
+    # under the bound: w may pass n, but counts for n; rounding must not tell a cell at 1 from one just below
+    full = F.col("w") >= F.col("n") * F.lit(NEARLY)
 
     def bounded(d):
         free = F.when(F.col("_have") > 0, F.greatest(F.col(f"_take_{d}") - F.col("_full"), F.lit(0.0)) / F.col("_have")).otherwise(F.lit(1.0))
         # cells that stand at 1 leave no room: all are scaled down
-        factor = F.when((F.col("_full") >= F.col(f"_take_{d}")) & (F.col("_full") > 0), F.col(f"_take_{d}") / (F.col("_full") + F.col("_have"))).otherwise(free)
+        factor = F.when((F.col("_full") >= F.col(f"_take_{d}") * F.lit(NEARLY)) & (F.col("_full") > 0), F.col(f"_take_{d}") / (F.col("_full") + F.col("_have"))).otherwise(free)
         return F.when(F.col(f"_all_{d}"), F.when(F.col("w") > 0, F.greatest("w", "n")).otherwise(F.col("w"))).otherwise(F.col("w") * factor)
 
     raked = _swept(materialize(raked, "raked"), sweeps, bounded, F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.sum(F.when(full, F.col("n")).otherwise(0.0)))
@@ -99,15 +102,25 @@ def _fit(base: DataFrame, alpha: float, sweeps: int, part: float, targets: dict
 
 
 def _swept(cells: DataFrame, sweeps: int, step, have, full=None) -> DataFrame:
-    """Cells after up to ``sweeps`` sweeps over the margins; ``step`` gives w from a margin's sums."""
+    """Cells after up to ``sweeps`` sweeps over the margins; ``step`` gives w from a margin's sums.
+
+    A counted few cells are swept BLOCK times over by windows in one task, without a shuffle; more are
+    aggregated by margin and joined, a sweep at a time."""
     names = cells.columns
-    for _ in range(sweeps):
+    few = cells.count() <= FEW_CELLS
+    full = F.sum(F.lit(0.0)) if full is None else full
+    for n in range(0, sweeps, BLOCK if few else 1):
         before = cells
-        for d in DIMS:
-            sums = cells.groupBy(d).agg(have.alias("_have"), (F.lit(0.0) if full is None else full).alias("_full"))
-            cells = cells.join(sums, d).select(*[c for c in names if c != "w"], step(d).alias("w"))
-            cells = cells.select(*names)
-        cells = before.select(*DIMS, F.col("w").alias("_before")).join(cells, list(DIMS))
+        cells = cells.coalesce(1).withColumn("_before", F.col("w")) if few else cells
+        for _ in range(min(BLOCK, sweeps - n) if few else 1):
+            for d in DIMS:
+                if few:
+                    w = Window.partitionBy(d)
+                    cells = cells.select("*", have.over(w).alias("_have"), full.over(w).alias("_full")).select(*[c for c in names if c != "w"], "_before", step(d).alias("w"))
+                else:
+                    cells = cells.join(cells.groupBy(d).agg(have.alias("_have"), full.alias("_full")), d).select(*[c for c in names if c != "w"], step(d).alias("w"))
+        if not few:
+            cells = before.select(*DIMS, F.col("w").alias("_before")).join(cells, list(DIMS))
         cells = materialize(cells, "raked")  # a sweep's plan is read by the next three times over
         moved = cells.agg(F.max(F.abs(F.col("w") - F.col("_before")) / F.col("n"))).first()[0]
         cells = cells.select(*names)
@@ -166,8 +179,8 @@ def oracle(alpha: float = 0.7, sweeps: int = 10, share: float = 0.8) -> str:
         for dim in DIMS:
             name = f"b{s}_{dim}"
             parts.append(f"""{name} AS MATERIALIZED (SELECT source, lang, topic, n, CASE WHEN whole THEN greatest(w, n)
-              WHEN filled >= take AND filled > 0 THEN w * take / (filled + room) WHEN room > 0 THEN w * greatest(take - filled, 0) / room ELSE w END AS w
-              FROM (SELECT *, sum(CASE WHEN w >= n THEN n ELSE 0 END) OVER p AS filled, sum(CASE WHEN w >= n THEN 0 ELSE w END) OVER p AS room FROM {last} WINDOW p AS (PARTITION BY {dim})) JOIN (SELECT {dim}, take, whole FROM g_{dim}) USING ({dim}))""")
+              WHEN filled >= take * {NEARLY!r}::DOUBLE AND filled > 0 THEN w * take / (filled + room) WHEN room > 0 THEN w * greatest(take - filled, 0) / room ELSE w END AS w
+              FROM (SELECT *, sum(CASE WHEN w >= n * {NEARLY!r}::DOUBLE THEN n ELSE 0 END) OVER p AS filled, sum(CASE WHEN w >= n * {NEARLY!r}::DOUBLE THEN 0 ELSE w END) OVER p AS room FROM {last} WINDOW p AS (PARTITION BY {dim})) JOIN (SELECT {dim}, take, whole FROM g_{dim}) USING ({dim}))""")
             last = name
     parts.append(_level("s", f"(SELECT n, w / n AS weight FROM {last}), t", f"{share} * total"))
     parts.append(f"f AS (SELECT source, lang, topic, x.w / x.n AS weight, least(y.w / y.n * scale, 1.0) AS probability FROM {fitted} x JOIN {last} y USING (source, lang, topic), s)")

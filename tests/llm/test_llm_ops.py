@@ -316,6 +316,15 @@ def test_raking_meets_margins(spark, sf_dir):
     assert abs(rows.sampled.mean() - rows.probability.mean()) < 0.05
 
 
+def test_raking_of_many_cells_is_the_same(spark, sf_dir, monkeypatch):
+    docs = docs_of(spark, sf_dir).where("doc_id % 3 = 0")
+    rows = lambda: {r["doc_id"]: (round(r["weight"], 9), round(r["probability"], 9)) for r in raking.rake(docs, sweeps=3).collect()}
+    few = rows()
+    monkeypatch.setattr(raking, "FEW_CELLS", 0)
+    monkeypatch.setattr(raking, "BLOCK", 1)
+    assert rows() == few
+
+
 def test_raking_odd_rows(spark):
     rows = raking.rake(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(0 <= r["probability"] <= 1 and r["weight"] >= 0 for r in rows)
