@@ -76,12 +76,16 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that carry whole texts go to Python at most so many at a time (Spark's own default is 10,000), so
-    that a worker holds a few MB of them. Holds for the session from here on, as plans run later than this."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Rows that carry whole texts or vectors go to Python at most so many and so many bytes at a time (Spark's
+    own defaults are 10,000 and 64 MB), so that a worker and the JVM's buffers beside its heap hold a few MB of
+    them. Holds for the session from here on, as plans run later than this."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= size:
+        spark.conf.set(key, str(size))
 
 
 _CACHES: list[dict] = []

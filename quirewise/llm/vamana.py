@@ -3,7 +3,7 @@
 Distinct vectors are dealt to shards of bounded size. In each shard, greedy searches from an entry node
 propose neighbours for a batch of nodes at a time, relaxed distance pruning keeps diverse edges, and
 edges back are added and pruned alike. Blocks of queries then run a beam search in every shard, and the
-shards' answers are merged on exact distances.
+shards' answers are merged on exact distances: in each task first, so that only its nearest go out.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 DEGREE, BEAM, ALPHA = 28, 64, 1.2
 ENTRIES, SEARCH_BEAM = 31, 96
 SHARD = 3000
 #: Queries that a copy of a shard serves.
 QUERY_BLOCK = 2048
+#: Bytes of gathered vectors that a search works on at a time, and answers that a task holds to merge them.
+WORK_BYTES, HELD = 1 << 25, 1 << 20
 
 
 def _squares(points: np.ndarray, a: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -201,6 +203,41 @@ def build_index(rows: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
     return materialize(dealt.groupBy("shard").applyInPandas(build, "shard int, dim int, n int, ids binary, vectors binary, graph binary, entry binary"), "graphs")
 
 
+def _best(who: np.ndarray, near: np.ndarray, score: np.ndarray, k: int):
+    """The k nearest different ids of each query, ties to the smaller id: (who, near, score)."""
+    order = np.lexsort((score, near, who))
+    who, near, score = who[order], near[order], score[order]
+    once = np.append(True, (who[1:] != who[:-1]) | (near[1:] != near[:-1]))[: len(who)]
+    who, near, score = who[once], near[once], score[once]
+    order = np.lexsort((near, score, who))
+    who, near, score = who[order], near[order], score[order]
+    top = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[top], near[top], score[top]
+
+
+def _search_shard(r: dict, beam: int, k: int):
+    """Yield (who, near, score) of a shard's nearest ids of slices of a block of queries."""
+    n, dim = r["n"], r["dim"]
+    ids = np.frombuffer(r["ids"], np.int64).reshape(n, -1)
+    exact = np.frombuffer(r["vectors"], np.float64).reshape(n, dim)
+    graph = np.frombuffer(r["graph"], np.int32).reshape(n, -1).astype(np.int64)
+    entry = np.frombuffer(r["entry"], np.int32).astype(np.int64)
+    every, asked = np.frombuffer(r["asked"], np.int64), np.frombuffer(r["points"], np.float64).reshape(-1, dim)
+    frame = _frame(exact)
+    walked = frame(exact)
+    step = max(1, WORK_BYTES // (8 * dim * max(beam, graph.shape[1], len(entry))))
+    for lo in range(0, len(every), step):
+        who, points = every[lo : lo + step], asked[lo : lo + step]
+        found, dist = beam_search(walked, graph, entry, frame(points), beam)
+        row, col = np.nonzero((found >= 0) & np.isfinite(dist))
+        node = found[row, col]
+        gap = exact[node]
+        gap -= points[row]
+        near = ids[node]
+        a, b = np.nonzero((near >= 0) & (near != who[row][:, None]))
+        yield _best(who[row][a], near[a, b], np.sqrt(np.square(gap, out=gap).sum(1))[a], k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, column: str = "embedding", beam: int = SEARCH_BEAM, shard: int = SHARD) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query, smallest Euclidean distance
     first, then smallest id; all candidates if fewer.
@@ -210,10 +247,11 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, c
     vectors of another length are no candidates; ids repeated with the same vector count once, with
     different ones as rows of their own; an empty table gives no rows; other columns are ignored.
     """
+    # one index row and one query block make a row of a few MB: few of them go to Python at once
+    small_batches(vectors.sparkSession)
     rows = materialize(usable(vectors, column).distinct(), "vectors")
     asked = rows.where(F.col("vec_id") % 100 == 0) if queries is None else usable(queries, column).distinct()
     index = build_index(rows, k + 1, shard)
-    last = index.agg(F.max("shard")).first()[0] or 0
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def pack(pdf):
@@ -222,33 +260,33 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, c
         out = []
         for dim, part in pdf.groupby(pdf["v"].map(len)):
             out += [(dim, part["vec_id"].to_numpy(np.int64)[lo : lo + QUERY_BLOCK].tobytes(), np.array(part["v"].tolist(), np.float64)[lo : lo + QUERY_BLOCK].tobytes()) for lo in range(0, len(part), QUERY_BLOCK)]
-        return pd.DataFrame(out, columns=["dim", "asked", "points"])
+        return pd.DataFrame(out, columns=["asked_dim", "asked", "points"])
 
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, "dim int, asked binary, points binary")
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    work = index.join(sent, ["shard", "dim"])
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, "asked_dim int, asked binary, points binary")
+    # every block meets every shard of its length; no key, so neither shards nor blocks are shuffled
+    work = index.join(materialize(packed, "queries"), F.expr("dim - asked_dim = 0"))
 
     def search(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in ("dim", "n", "ids", "vectors", "graph", "entry", "asked", "points")}
-                n, dim = r["n"], r["dim"]
-                ids = np.frombuffer(r["ids"], np.int64).reshape(n, -1)
-                exact = np.frombuffer(r["vectors"], np.float64).reshape(n, dim)
-                graph = np.frombuffer(r["graph"], np.int32).reshape(n, -1).astype(np.int64)
-                who, points = np.frombuffer(r["asked"], np.int64), np.frombuffer(r["points"], np.float64).reshape(-1, dim)
-                frame = _frame(exact)
-                found, dist = beam_search(frame(exact), graph, np.frombuffer(r["entry"], np.int32).astype(np.int64), frame(points), max(beam, k + 1))
-                real = (found >= 0) & np.isfinite(dist)
-                row, col = np.nonzero(real)
-                node = found[row, col]
-                score = np.sqrt(((exact[node] - points[row]) ** 2).sum(1))
-                near = ids[node]
-                use = (near >= 0) & (near != who[row][:, None])
-                a, b = np.nonzero(use)
-                yield pa.RecordBatch.from_arrays([pa.array(who[row][a]), pa.array(near[a, b]), pa.array(score[a])], names=["query_id", "vec_id", "score"])
+                for found in _search_shard(r, max(beam, k + 1), k):
+                    held.append(found)
+                    size += len(found[0])
+                    if size > HELD:
+                        held = [_best(*map(np.concatenate, zip(*held)), k)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield from _batches(*held[0])
+                            held, size = [], 0
+        if held:
+            yield from _batches(*_best(*map(np.concatenate, zip(*held)), k))
+
+    def _batches(*columns, rows=1 << 16):
+        for lo in range(0, len(columns[0]), rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + rows]) for c in columns], names=["query_id", "vec_id", "score"])
 
-    # one index row and one query block make a row of a few MB: few of them go to Python at once
     found = work.select("dim", "n", "ids", "vectors", "graph", "entry", "asked", "points").mapInArrow(search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirewise.llm import dartminhash, decontaminate, disclosure, kdtree, license_scan, quality, queries, raking, sstable, urlfilter, vamana
@@ -592,6 +593,27 @@ def test_nearest_copies_ties_and_odd_rows(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(100, 1000), (1000, 100)]
 
 
+def test_nearest_search_holds_little_and_sends_only_the_nearest(spark, monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: seen.append((self, f)) or plain(self, f, *a, **b))
+    out = vamana.nearest(df, df, k=5, shard=300).collect()
+    work, search = seen[-1]
+    batches = work.toArrow().to_batches()
+    assert sum(b.num_rows for b in batches) > 1  # shards
+    tracemalloc.start()
+    sent = pa.Table.from_batches(list(search(iter(batches)))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sent) == len(out) == 5 * len(x) and {tuple(r.values()) for r in sent} == {(r["query_id"], r["vec_id"], r["score"]) for r in out}
+    assert peak < 100 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
 # 9 urls
 def brute_url(url, listed):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
