@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -18,7 +20,8 @@ IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BLOCK = 1 << 20
+#: Bytes of words hashed at a time; the tables of powers, which every worker holds, are of 8 bytes each.
+_BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,10 +100,24 @@ def worker_cache() -> dict:
     return _CACHES[-1]
 
 
-def drop_caches() -> None:
-    """Called by tasks that need their memory themselves: workers outlive the stages that filled the caches."""
+_trimmed = [0.0]
+
+
+def drop_caches(trim: bool = False) -> None:
+    """Called by tasks that need their memory themselves: workers outlive the stages that filled the caches.
+
+    What is free goes back to the system, once a second at most unless ``trim``: an idle worker's share counts
+    against its executor."""
+    full = any(_CACHES)
     for cache in _CACHES:
         cache.clear()
+    if trim or full or time.monotonic() - _trimmed[0] > 1:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # not glibc
+            pass
+        _trimmed[0] = time.monotonic()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -122,8 +139,8 @@ def _powers(p: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(int(_P), 4 * _BLOCK)
-_INV = _powers(_inverse(int(_P)), 4 * _BLOCK)
+_POW = _powers(int(_P), _BLOCK)
+_INV = _powers(_inverse(int(_P)), _BLOCK)
 
 
 def text_slices(column: pa.Array, limit: int = 4 << 20, rows: int | None = None):

@@ -163,6 +163,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(edge), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel().view(np.int64))),
                 ], names=["doc_id", "key", "rep", "sig", "sets", "bands"])
+        drop_caches(trim=True)  # the worker idles through the joins that follow
 
     return docs.mapInArrow(run, "doc_id long, key long, rep long, sig binary, sets array<int>, bands array<long>")
 

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches, worker_cache
+from .common import drop_caches, scratch_dir, small_batches, worker_cache
 
 MAGIC = b"QWSST001"
 FOOTER = struct.Struct("<QQQQQQQI8s")
@@ -367,6 +367,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
         starts += r["n_tokens"]
 
     def read(batches):
+        drop_caches()  # the encoders have done their work
         fs, _ = _filesystem(folder)
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):

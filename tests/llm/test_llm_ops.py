@@ -537,6 +537,33 @@ def test_disclosure_matches_brute_force(spark, sf_dir, texts):
     assert not want[next(t for _, t in texts if not want[t])]
 
 
+# memory of workers, which idle beside the JVM of their executor
+def test_workers_keep_little_between_stages(spark, monkeypatch):
+    from quirewise.llm import common
+
+    assert common._POW.nbytes + common._INV.nbytes <= 8 << 20
+    seen, df = [], spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: seen.append((self, f)) or plain(self, f, *a, **b))
+    rows = sstable.token_shards(df)
+    files, read = seen[-1]
+    monkeypatch.setitem(sstable._ENCODERS, "a file", object())
+    assert sum(b.num_rows for b in read(iter(files.toArrow().to_batches()))) == rows.count() == 40
+    assert not sstable._ENCODERS
+
+
+def test_words_around_the_block_size():
+    from quirewise.llm import common
+
+    block = common._BLOCK
+    words = ["a", "B" * (block - 1), "c" * block, "d" * (block + 1), "e" * (5 * block), "x y", "f" * 70]
+    text = " ".join([*words, "z" * 13, *words]).encode()
+    data = np.frombuffer(text, np.uint8)
+    start, end, _, h = common.words_of(data, np.array([0, len(text)]))
+    names = [text[a:b].lower() for a, b in zip(start, end)]
+    assert names == text.lower().split() and len(set(zip(names, h.tolist()))) == len(set(names)) == len(set(h.tolist()))
+
+
 # 8 nearest neighbours
 def test_nearest_recall_and_scores(spark, sf_dir, duck):
     rows = queries.op8_pruned_graph_search(spark, sf_dir).collect()
