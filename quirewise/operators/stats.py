@@ -16,6 +16,7 @@ from ..functions.text import furniture_key, is_blank, meaningful
 # Thresholds of the measurements.
 MARGIN_BAND, REPEAT_SHARE = 0.15, 0.6
 GUTTER_BAND, GUTTER_TOGETHER, COLUMN_LINES, PAGE_LINES = 0.5, 0.5, 4, 8
+GUTTER_CELLS = 1 << 20
 LINE = ["doc_id", "page", "line_no"]
 
 
@@ -143,28 +144,125 @@ def gutters(lines: DataFrame, char_widths: DataFrame) -> DataFrame:
     ``lines`` are those that bound columns. At each whole x of a page, the lines that cross it leave free
     bands; a band counts if it is half the page's text high, with four lines on either side that stand beside
     each other for half that height. Neighbouring x make a gutter; it must be wide enough. Which lines cross
-    changes only where one ends, so a stretch between two such places is looked at once. The join is on
-    (doc_id, page); what it makes is bounded by the square of a page's lines.
+    changes only where one ends, so a stretch between two such places is looked at once.
     """
+    box = F.struct(*[F.col(f"bbox.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return page_gutters(lines.groupBy("doc_id", "page").agg(F.collect_list(box).alias("boxes")), char_widths)
+
+
+def page_gutters(pages: DataFrame, char_widths: DataFrame) -> DataFrame:
+    """``gutters`` of pages (doc_id, page, boxes). What a page compares is the square of its lines; it stays in the
+    memory of one task, in pieces of ``GUTTER_CELLS``, and only gutters leave it."""
     P2 = ["doc_id", "page"]
-    page = lines.groupBy(*P2).agg(F.min("bbox.x0").alias("l"), F.max("bbox.x1").alias("r"), F.min("bbox.y0").alias("lo"), F.max("bbox.y1").alias("hi"), F.count("*").alias("n")).where(f"n >= {PAGE_LINES} and hi > lo")
-    page = page.withColumn("first", F.ceil("l") + 1).withColumn("end", F.floor("r") - 1).where("first <= end")
-    marks = page.join(lines.select(*P2, "bbox"), P2).select(*P2, "lo", "hi", "first", "end", F.explode(F.array("first", F.ceil("bbox.x1"), F.floor("bbox.x0") + 1)).alias("x")).where("x between first and end").distinct()
-    w = Window.partitionBy(*P2).orderBy("x")
-    xs = marks.select(*P2, "lo", "hi", "x", F.coalesce(F.lead("x").over(w) - 1, "end").alias("until"), F.row_number().over(w).alias("no"))
-    at = xs.join(lines.select(*P2, "bbox"), P2).withColumn("side", F.when(F.col("bbox.x1") <= F.col("x"), "left").when(F.col("bbox.x0") >= F.col("x"), "right").otherwise("across"))
-    K = [*P2, "x"]
-    across = at.where("side = 'across'").select(*K, "lo", "hi", F.col("bbox.y0").alias("start"), F.col("bbox.y1").alias("end"))
-    clear = xs.join(across.select(*K).distinct(), K, "left_anti").select(*K, F.col("lo").alias("top"), F.col("hi").alias("bottom"))
-    bands = free_bands(across, K).unionByName(clear).join(page.select(*P2, "lo", "hi"), P2).where(F.col("bottom") - F.col("top") >= (F.col("hi") - F.col("lo")) * GUTTER_BAND)
-    beside = bands.join(at.where("side != 'across'").select(*K, "side", "bbox"), K).where((F.col("bbox.y1") > F.col("top")) & (F.col("bbox.y0") < F.col("bottom")))
-    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    sides = beside.groupBy(*K, "top", "bottom", "lo", "hi").agg(
-        F.count(of("left", "side")).alias("left_lines"), F.count(of("right", "side")).alias("right_lines"),
-        F.min(of("left", "bbox.y0")).alias("lt"), F.max(of("left", "bbox.y1")).alias("lb"), F.min(of("right", "bbox.y0")).alias("rt"), F.max(of("right", "bbox.y1")).alias("rb"),
-    )
-    fine = sides.where((F.col("left_lines") >= COLUMN_LINES) & (F.col("right_lines") >= COLUMN_LINES) & (F.least("lb", "rb") - F.greatest("lt", "rt") >= (F.col("hi") - F.col("lo")) * GUTTER_TOGETHER))
-    tall = fine.groupBy(*K).agg(F.max_by(F.struct("top", "bottom", "left_lines", "right_lines"), F.struct(F.col("bottom") - F.col("top"), -F.col("top"))).alias("band"))
-    run = tall.join(xs.select(*K, "until", "no"), K).withColumn("run", F.col("no") - F.row_number().over(w))
-    made = run.groupBy(*P2, "run").agg(F.min("x").cast("double").alias("left"), F.max("until").cast("double").alias("right"), F.max_by("band", F.struct(F.col("band.bottom") - F.col("band.top"), -F.col("x"))).alias("band"))
-    return made.join(char_widths, "doc_id").where(F.col("right") - F.col("left") >= F.greatest(F.lit(2.0), F.col("median_character_width") * 2)).select(*P2, "left", "right", "band.*")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*P2).schema)
+    some = pages.where(F.size("boxes") >= PAGE_LINES).select(*P2, "boxes")
+    made = some.mapInArrow(_gutters_of_batches, f"{kinds}, left double, right double, top double, bottom double, left_lines long, right_lines long")
+    wide = F.col("right") - F.col("left") >= F.greatest(F.lit(2.0), F.col("median_character_width") * 2)
+    return made.join(char_widths, "doc_id").where(wide).select(*P2, "left", "right", "top", "bottom", "left_lines", "right_lines")
+
+
+def _gutters_of_batches(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        boxes = b.column("boxes")
+        ends = boxes.offsets.to_numpy()
+        flat = boxes.values
+        at, found = _gutters_of(ends, *[flat.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")])
+        keys = [b.column(k).take(pa.array(at)) for k in ("doc_id", "page")]
+        names = ("left", "right", "top", "bottom", "left_lines", "right_lines")
+        yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v) for v in found]], names=["doc_id", "page", *names])
+
+
+def _gutters_of(ends, x0, y0, x1, y1):
+    """Gutters of pages whose lines stand at ends[i] to ends[i + 1]: the page of each and its six values.
+
+    Each (page, x) is a row, a page's lines from top to bottom are its columns; a row's bands are the gaps
+    before a crossing line, below the last one, or all of the page."""
+    import numpy as np
+
+    n = np.diff(ends)
+    page = np.repeat(np.arange(len(n)), n)
+    first_of = np.concatenate([[0], np.cumsum(n)])
+    x0, y0, x1, y1 = (v[ends[0] : ends[-1]].astype("float64") for v in (x0, y0, x1, y1))
+    edge = lambda f, v, none: f.reduceat(np.where(np.isnan(v), none, v), first_of[:-1])
+    l, r, lo, hi = edge(np.minimum, x0, np.inf), edge(np.maximum, x1, -np.inf), edge(np.minimum, y0, np.inf), edge(np.maximum, y1, -np.inf)
+    first, last = np.ceil(l) + 1, np.floor(r) - 1
+    fine = (hi > lo) & (first <= last)
+    # the places where another set of lines crosses
+    xs = np.concatenate([first, np.ceil(x1), np.floor(x0) + 1])
+    of = np.concatenate([np.arange(len(n)), page, page])
+    keep = fine[of] & (xs >= first[of]) & (xs <= last[of])
+    order = np.lexsort((xs[keep], of[keep]))
+    xs, of = xs[keep][order], of[keep][order]
+    new = np.ones(len(xs), bool)
+    new[1:] = (xs[1:] != xs[:-1]) | (of[1:] != of[:-1])
+    xs, of = xs[new], of[new]
+    until = np.append(xs[1:], 0.0) - 1
+    ends_page = np.append(of[1:] != of[:-1], True)[: len(of)]
+    until[ends_page] = last[of[ends_page]]
+    # a line without a top or bottom reaches to the page's own
+    start, stop = np.where(np.isnan(y0), lo[page], y0), np.where(np.isnan(y1), hi[page], y1)
+    by_top = np.lexsort((stop, start, page))
+    pad = lambda v: np.append(v[by_top], np.nan)
+    x0, y0, x1, y1, start, stop = map(pad, (x0, y0, x1, y1, start, stop))
+    # rows of pages of like length go together
+    rows = np.argsort(n[of], kind="stable")
+    bands = []
+    at = 0
+    while at < len(rows):
+        # the longest page of a piece is its last
+        size = max(1, GUTTER_CELLS // int(n[of[rows[at]]]))
+        while size > 1 and size * int(n[of[rows[min(at + size, len(rows)) - 1]]]) > GUTTER_CELLS:
+            size //= 2
+        some = rows[at : at + size]
+        at += size
+        p, x = of[some], xs[some][:, None]
+        cols = np.arange(int(n[p].max()))
+        i = np.where(cols < n[p][:, None], first_of[p][:, None] + cols, len(x0) - 1)
+        left = x1[i] <= x
+        right = ~left & (x0[i] >= x)
+        enough = (left.sum(1) >= COLUMN_LINES) & (right.sum(1) >= COLUMN_LINES)
+        if not enough.any():
+            continue
+        some, p, i, left, right = some[enough], p[enough], i[enough], left[enough], right[enough]
+        across = ~left & ~right & (i < len(x0) - 1)
+        s, e = start[i], stop[i]
+        solid = across & (e > s)
+        reached = np.maximum.accumulate(np.where(solid, e, -np.inf), axis=1)
+        before = np.concatenate([np.full((len(some), 1), -np.inf), reached[:, :-1]], axis=1)
+        before = np.where(np.isneginf(before), lo[p][:, None], before)
+        half = ((hi - lo) * GUTTER_BAND)[p]
+        with np.errstate(invalid="ignore"):
+            row, col = np.nonzero(solid & (s > before) & (s - before >= half[:, None]))
+        end = reached[:, -1]
+        below = np.nonzero(solid.any(1) & (hi[p] > end) & (hi[p] - end >= half))[0]
+        whole = np.nonzero(~across.any(1) & (hi[p] - lo[p] >= half))[0]
+        row, top, bottom = np.concatenate([row, below, whole]), np.concatenate([before[row, col], end[below], lo[p[whole]]]), np.concatenate([s[row, col], hi[p[below]], hi[p[whole]]])
+        for a in range(0, len(row), max(1, GUTTER_CELLS // len(cols))):
+            part = slice(a, a + max(1, GUTTER_CELLS // len(cols)))
+            k, t, u = row[part], top[part], bottom[part]
+            ya, yb = y0[i[k]], y1[i[k]]
+            beside = (yb > t[:, None]) & (ya < u[:, None])
+            on_l, on_r = left[k] & beside, right[k] & beside
+            nl, nr = on_l.sum(1), on_r.sum(1)
+            low = lambda on: np.fmin.reduce(np.where(on, ya, np.inf), axis=1)  # noqa: E731, B023
+            high = lambda on: np.fmax.reduce(np.where(on, yb, -np.inf), axis=1)  # noqa: E731, B023
+            together = np.minimum(high(on_l), high(on_r)) - np.maximum(low(on_l), low(on_r)) >= ((hi - lo) * GUTTER_TOGETHER)[p[k]]
+            ok = (nl >= COLUMN_LINES) & (nr >= COLUMN_LINES) & together
+            bands.append((some[k[ok]], t[ok], u[ok], nl[ok], nr[ok]))
+    if not bands:
+        return np.zeros(0, "int64"), [np.zeros(0)] * 4 + [np.zeros(0, "int64")] * 2
+    row, top, bottom, nl, nr = (np.concatenate(c) for c in zip(*bands))
+    # the tallest band of an x, the topmost of equals; then runs of neighbouring x, and the tallest band of each
+    order = np.lexsort((top, top - bottom, row))
+    order = order[np.append(True, row[order][1:] != row[order][:-1])]
+    row, top, bottom, nl, nr = (v[order] for v in (row, top, bottom, nl, nr))
+    opens = np.append(True, (row[1:] != row[:-1] + 1) | (of[row[1:]] != of[row[:-1]]))
+    run = np.cumsum(opens) - 1
+    best = np.lexsort((xs[row], top - bottom, run))
+    best = best[np.append(True, run[best][1:] != run[best][:-1])]
+    closes = np.append(opens[1:], True)
+    return of[row[opens]], [xs[row[opens]], until[row[closes]], top[best], bottom[best], nl[best].astype("int64"), nr[best].astype("int64")]

@@ -1,8 +1,10 @@
 """Layout, structure and sections on small documents."""
 
+import math
 import random
 import statistics
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quirewise.operators import evaluate
@@ -107,6 +109,66 @@ def test_gutter(spark):
     assert [(r["doc_id"], r["left"], r["right"], r["left_lines"], r["right_lines"]) for r in got] == [("d", 100.0, 150.0, 6, 6)]
 
 
+def test_gutters_move_each_line_once(spark):
+    rows = [("d", i, 1, "x", x, 10.0 + 14 * (i // 2), x + 100, 20.0 + 14 * (i // 2), 10.0, False) for i, x in enumerate([0.0, 150.0] * 6)]
+    df = lines(spark, rows)
+    plan = ST.gutters(df, df.select("doc_id").distinct().withColumn("median_character_width", F.lit(5.0)))._jdf.queryExecution().executedPlan().toString()
+    # no join of lines with each other, by page
+    assert "Join" in plan and not [k for k in plan.splitlines() if "Join" in k and "page" in k]
+
+
+def test_gutters_against_every_x(spark, monkeypatch):
+    """Pages of random columns, against looking at each whole x, with pieces of any size."""
+    rng = random.Random(5)
+    rows, want = [], []
+    for page in range(1, 41):
+        boxes = []
+        for i in range(rng.choice([4, 8, 14, 30])):
+            left = rng.choice([10.0, 130.0, 260.0]) + rng.randrange(8) / 2
+            top = 10.0 * rng.randrange(20) + rng.randrange(3) / 2
+            boxes.append((left, top, left + rng.choice([60.0, 90.5, 110.0, 300.0 if rng.random() < 0.3 else 80.0]), top + 9.0))
+        rows += [("d", i, page, "x", *b, 10.0, False) for i, b in enumerate(boxes)]
+        want += [("d", page, *g) for g in _gutters_by_hand(boxes)]
+    widths = spark.createDataFrame([("d", 5.0)], "doc_id string, median_character_width double")
+    got = ST.gutters(lines(spark, rows), widths).collect()
+    assert len(want) > 10 and sorted(tuple(r) for r in got) == sorted(want)
+    flat = np.array([r[4:8] for r in rows])
+    ends = np.concatenate([[0], np.cumsum([sum(r[2] == p for r in rows) for p in range(1, 41)])])
+    whole = ST._gutters_of(ends, *flat.T)
+    monkeypatch.setattr(ST, "GUTTER_CELLS", 40)
+    pieces = ST._gutters_of(ends, *flat.T)
+    assert all(np.array_equal(a, b) for a, b in zip([whole[0], *whole[1]], [pieces[0], *pieces[1]]))
+
+
+def _gutters_by_hand(boxes):
+    lo, hi = min(b[1] for b in boxes), max(b[3] for b in boxes)
+    found = []
+    if len(boxes) >= 8:
+        for x in range(math.ceil(min(b[0] for b in boxes)) + 1, math.floor(max(b[2] for b in boxes))):
+            sides = [(b, "l" if b[2] <= x else "r" if b[0] >= x else "c") for b in boxes]
+            reach, bands = lo, []
+            for b in sorted((b for b, s in sides if s == "c"), key=lambda b: (b[1], b[3])):
+                bands.append((reach, b[1]))
+                reach = max(reach, b[3])
+            tall = []
+            for t, u in [*bands, (reach, hi)]:
+                at = {k: [b for b, s in sides if s == k and b[3] > t and b[1] < u] for k in "lr"}
+                if u - t >= (hi - lo) * 0.5 and min(len(at["l"]), len(at["r"])) >= 4 and min(max(b[3] for b in at[k]) for k in "lr") - max(min(b[1] for b in at[k]) for k in "lr") >= (hi - lo) * 0.5:
+                    tall.append((u - t, -t, u, len(at["l"]), len(at["r"])))
+            if tall:
+                found.append((x, max(tall)))
+    runs = []
+    for x, band in found:
+        if runs and runs[-1][-1][0] == x - 1:
+            runs[-1].append((x, band))
+        else:
+            runs.append([(x, band)])
+    for run in runs:
+        if run[-1][0] - run[0][0] >= 10:
+            _, t, u, nl, nr = max(run, key=lambda r: (r[1][0], -r[0]))[1]
+            yield float(run[0][0]), float(run[-1][0]), -t, u, nl, nr
+
+
 HEADS = "doc_id string, line_index int, section_type string, similarity double, runner_up double"
 
 
