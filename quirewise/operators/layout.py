@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, horizontal_overlap, hull, overlap_ratio
 from ..functions.text import bracket_depth, is_blank
-from .stats import horizontal
+from .stats import horizontal, piece
 
 # Thresholds of the layout rules.
 BASELINE_SHIFT, STYLE_GAP, LINK_SHARE = 0.3, 0.25, 0.5
@@ -177,13 +177,63 @@ def vertical_text(lines: DataFrame) -> DataFrame:
 
 def overlapping_text(lines: DataFrame) -> DataFrame:
     """The first pair of lines on each page that cover each other by half."""
+    line = F.struct("line_no", "text", "bbox")
+    return page_overlaps(lines.groupBy("doc_id", "page").agg(F.collect_list(line).alias("lines")))
+
+
+def page_overlaps(pages: DataFrame) -> DataFrame:
+    """``overlapping_text`` of pages (doc_id, page, lines): a page's pairs stay in the memory of one task, in pieces of
+    ``stats.GUTTER_CELLS``, and only the first one leaves it."""
     keys = ["doc_id", "page"]
-    full = lines.where(~is_blank(F.col("text"))).select(*keys, "line_no", "bbox")
-    a, b = full.alias("a"), full.alias("b")
-    pair = a.join(b, [F.col("a.doc_id") == F.col("b.doc_id"), F.col("a.page") == F.col("b.page"), F.col("a.line_no") < F.col("b.line_no")])
-    hit = pair.where(overlap_ratio(F.col("a.bbox"), F.col("b.bbox")) >= OVERLAP_TEXT)
-    out = hit.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.page").alias("page")).agg(F.min_by(F.struct(F.col("a.line_no").alias("first"), F.col("b.line_no").alias("second"), F.col("a.bbox").alias("bbox")), F.struct("a.line_no", "b.line_no")).alias("p"))
-    return out.select(*keys, F.lit("overlapping_text").alias("kind"), F.concat_ws(" ", F.lit("lines"), "p.first", F.lit("and"), "p.second", F.lit("cover each other")).alias("detail"), "p.bbox")
+    corner = lambda x, c: x["bbox"][c].cast("double").alias(c)
+    full = F.transform(F.filter("lines", lambda x: ~is_blank(x["text"])), lambda x: F.struct(x["line_no"], *[corner(x, c) for c in ("x0", "y0", "x1", "y1")]))
+    some = pages.select(*keys, F.array_sort(full).alias("lines")).where("size(lines) > 1")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.select(*keys).schema)
+    no = some.schema["lines"].dataType.elementType["line_no"].dataType.simpleString()
+    hit = some.mapInArrow(_first_overlaps, f"{kinds}, first {no}, second {no}, x0 double, y0 double, x1 double, y1 double")
+    return hit.select(*keys, F.lit("overlapping_text").alias("kind"), F.concat_ws(" ", F.lit("lines"), "first", F.lit("and"), "second", F.lit("cover each other")).alias("detail"), F.struct("x0", "y0", "x1", "y1").alias("bbox"))
+
+
+def _first_overlaps(batches):
+    """Rows are lines, columns the lines of their page; lines come in order of their number."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends, flat = b.column("lines").offsets.to_numpy(), b.column("lines").values
+        flat, ends = flat.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
+        n = np.diff(ends)
+        page = np.repeat(np.arange(len(n)), n)
+        no = flat.field("line_no")
+        rank = np.unique(no.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        x0, y0, x1, y1 = (np.append(flat.field(c).to_numpy(zero_copy_only=False), np.nan) for c in ("x0", "y0", "x1", "y1"))
+        size = np.maximum(0.0, x1 - x0) * np.maximum(0.0, y1 - y0)
+        rank = np.append(rank, -1)
+        long = n[page]
+        rows = np.argsort(long, kind="stable")
+        first, second = [], []
+        at = 0
+        while at < len(rows):
+            some = rows[at : at + piece(long, rows, at)]
+            at += len(some)
+            p, cols = page[some], np.arange(int(n[page[some]].max()))
+            i = np.where(cols < n[p][:, None], ends[p][:, None] + cols, len(flat))
+            k = some[:, None]
+            shared = np.maximum(0.0, np.minimum(x1[k], x1[i]) - np.maximum(x0[k], x0[i])) * np.maximum(0.0, np.minimum(y1[k], y1[i]) - np.maximum(y0[k], y0[i]))
+            small = np.minimum(size[k], size[i])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                on = (rank[k] < rank[i]) & (small > 0) & (shared / small >= OVERLAP_TEXT)
+            any_ = on.any(1)
+            first.append(some[any_])
+            second.append(i[any_, on[any_].argmax(1)])
+        first, second = (np.concatenate(c) if c else np.zeros(0, "int64") for c in (first, second))
+        order = np.argsort(first)
+        order = order[np.append(True, np.diff(page[first[order]]) != 0)[: len(order)]]
+        first, second = first[order], second[order]
+        columns = [b.column(k).take(pa.array(page[first])) for k in ("doc_id", "page")] + [no.take(pa.array(first)), no.take(pa.array(second))] + [pa.array(v[first]) for v in (x0, y0, x1, y1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "page", "first", "second", "x0", "y0", "x1", "y1"])
 
 
 def text_in_graphics(lines: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
@@ -214,10 +264,10 @@ def column_warnings(gutters: DataFrame) -> DataFrame:
     return gutters.select("doc_id", "page", F.lit("multiple_columns").alias("kind"), detail.alias("detail"), box.alias("bbox"))
 
 
-def unsupported_layouts(lines: DataFrame, pages: DataFrame, images: DataFrame, rules: DataFrame, gutters: DataFrame) -> DataFrame:
+def unsupported_layouts(lines: DataFrame, pages: DataFrame, images: DataFrame, rules: DataFrame, gutters: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
     """All reasons (doc_id, page, kind, detail, bbox) why a page's reading order may be a guess; a report sorts
-    them within each document."""
-    parts = [column_warnings(gutters), vertical_text(lines), overlapping_text(lines), text_in_graphics(lines, images, pages), nested_tables(rules)]
+    them within each document. ``overlaps`` brings overlapping text that is already found."""
+    parts = [column_warnings(gutters), vertical_text(lines), overlapping_text(lines) if overlaps is None else overlaps, text_in_graphics(lines, images, pages), nested_tables(rules)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

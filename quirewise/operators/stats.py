@@ -161,6 +161,15 @@ def page_gutters(pages: DataFrame, char_widths: DataFrame) -> DataFrame:
     return made.join(char_widths, "doc_id").where(wide).select(*P2, "left", "right", "top", "bottom", "left_lines", "right_lines")
 
 
+def piece(n, rows, at: int) -> int:
+    """How many of ``rows``, in order of their columns' number n, make at most ``GUTTER_CELLS`` cells from ``at`` on."""
+    # the longest is the last
+    size = max(1, GUTTER_CELLS // max(1, int(n[rows[at]])))
+    while size > 1 and size * int(n[rows[min(at + size, len(rows)) - 1]]) > GUTTER_CELLS:
+        size //= 2
+    return size
+
+
 def _gutters_of_batches(batches):
     import pyarrow as pa
 
@@ -209,16 +218,12 @@ def _gutters_of(ends, x0, y0, x1, y1):
     pad = lambda v: np.append(v[by_top], np.nan)
     x0, y0, x1, y1, start, stop = map(pad, (x0, y0, x1, y1, start, stop))
     # rows of pages of like length go together
-    rows = np.argsort(n[of], kind="stable")
+    rows, long = np.argsort(n[of], kind="stable"), n[of]
     bands = []
     at = 0
     while at < len(rows):
-        # the longest page of a piece is its last
-        size = max(1, GUTTER_CELLS // int(n[of[rows[at]]]))
-        while size > 1 and size * int(n[of[rows[min(at + size, len(rows)) - 1]]]) > GUTTER_CELLS:
-            size //= 2
-        some = rows[at : at + size]
-        at += size
+        some = rows[at : at + piece(long, rows, at)]
+        at += len(some)
         p, x = of[some], xs[some][:, None]
         cols = np.arange(int(n[p].max()))
         i = np.where(cols < n[p][:, None], first_of[p][:, None] + cols, len(x0) - 1)

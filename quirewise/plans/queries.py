@@ -22,6 +22,7 @@ from ..operators import structure as R
 from ..operators import vectors as V
 from ..sources import corpus, images, ocr, physical
 from . import output, resume
+from .stage import staged
 from .synthetic import frame, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1131,9 +1132,14 @@ _WARNINGS = " UNION ALL ".join(f"SELECT doc_id, page, '{kind}' AS kind FROM ({OR
 
 
 def _warnings(spark, sf_dir):
-    """Every reason why a page's order may be a guess, from the relations that the detectors' queries use."""
-    b = _boxes(spark, sf_dir)
-    return b, L.unsupported_layouts(b, _pages(b), _image_boxes(b), _rule_boxes(b), ST.gutters(b, _widths(b)))
+    """Every reason why a page's order may be a guess, from the relations that the detectors' queries use.
+
+    The boxes are numbered and brought together by page once; all detectors read that."""
+    line = F.struct("line_no", "text", "bbox", "dir_x", "dir_y")
+    pages = staged(_boxes(spark, sf_dir).groupBy("doc_id", "page").agg(F.collect_list(line).alias("lines")), "pages")
+    b = pages.select("doc_id", "page", F.inline("lines")).select("*", "bbox.*")
+    gutters = ST.page_gutters(pages.select("doc_id", "page", F.col("lines.bbox").alias("boxes")), _widths(pages))
+    return b, L.unsupported_layouts(b, _pages(b), _image_boxes(b), _rule_boxes(b), gutters, L.page_overlaps(pages))
 
 
 @query(_WARNINGS)

@@ -13,7 +13,7 @@ from quirewise.operators import sections as X
 from quirewise.operators import stats as ST
 from quirewise.operators import structure as R
 from quirewise.operators import vectors as V
-from quirewise.plans import resume
+from quirewise.plans import queries, resume
 
 LINE = "doc_id string, line_index int, page int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean"
 
@@ -169,6 +169,25 @@ def _gutters_by_hand(boxes):
             yield float(run[0][0]), float(run[-1][0]), -t, u, nl, nr
 
 
+def test_overlaps_move_each_line_once(spark):
+    """The first pair of each page, against all pairs, without a join of lines with lines."""
+    rng = random.Random(7)
+    rows = [("d", i, 1 + i % 5, " " if i % 9 == 0 else "x", x, y, x + 30.0, y + 10.0, 10.0, False) for i, (x, y) in enumerate((rng.randrange(300), rng.randrange(300)) for _ in range(120)) for x, y in [(float(x), float(y))]]
+    df = lines(spark, rows).withColumnRenamed("line_index", "line_no")
+    found = L.overlapping_text(df)
+    share = lambda a, b: max(0, min(a[6], b[6]) - max(a[4], b[4])) * max(0, min(a[7], b[7]) - max(a[5], b[5])) / 300
+    pairs = [(a[2], a[1], b[1], a[4]) for a in rows for b in rows if a[2] == b[2] and a[1] < b[1] and a[3] == b[3] == "x" and share(a, b) >= 0.5]
+    want = [min(p for p in pairs if p[0] == page) for page in sorted({p[0] for p in pairs})]
+    assert want and sorted((r["page"], r["detail"], r["bbox"]["x0"]) for r in found.collect()) == [(page, f"lines {a} and {b} cover each other", x) for page, a, b, x in want]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_warnings_read_packed_pages(spark, sf_dir):
+    """All detectors read one packed table: no detector numbers the boxes again."""
+    plan = queries.layout_report(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "lineitem" not in plan
+
+
 HEADS = "doc_id string, line_index int, section_type string, similarity double, runner_up double"
 
 
