@@ -1173,17 +1173,23 @@ def section_routing_scores(spark, sf_dir):
 @query(f"""WITH {DOC_LINES}, e AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT m, ',' ORDER BY m) AS found FROM (SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_.-]+\\.[A-Za-z]{{2,}}')) AS m FROM dl) x GROUP BY ALL)
  SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS emails, coalesce(found, '') AS found FROM documents d LEFT JOIN e USING (doc_id)""")
 def document_contacts(spark, sf_dir):
+    """Addresses of documents: how many, one that stands twice in a line counted once, and which."""
+    claims = staged(_contact_claims(spark, sf_dir), "contacts")
     emails = F.coalesce(F.col("resume.header_profile.emails"), F.expr("cast(array() as array<string>)"))
-    return _profiles(spark, sf_dir).select("doc_id", F.size(emails).alias("emails"), F.array_join(F.array_sort(F.array_distinct(emails)), ",").alias("found"))
+    n = claims.where("kind = 'email'").groupBy("doc_id").agg(F.count_distinct("line_index", "text").cast("int").alias("n"))
+    found = _profiles(spark, sf_dir, claims).join(n, "doc_id", "left")
+    return found.select("doc_id", F.coalesce("n", F.lit(0)).alias("emails"), F.array_join(F.array_sort(F.array_distinct(emails)), ",").alias("found"))
 
 
 def document_profiles(spark, sf_dir):
-    return _profiles(spark, sf_dir).select("doc_id", output.as_json(F.col("resume")).alias("json"))
+    return _profiles(spark, sf_dir, _contact_claims(spark, sf_dir)).select("doc_id", output.as_json(F.col("resume")).alias("json"))
 
 
-def _profiles(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id")
+def _contact_claims(spark, sf_dir):
     lines = _doc_lines(spark, sf_dir).where(~T.is_blank(F.col("text")))
-    asked = C.pattern_claims(lines, P.EMAIL, "email", order=1).unionByName(C.pattern_claims(lines, P.PHONE, "phone", order=2))
-    profile = output.header_profile(C.resolve(asked))
-    return output.resumes(docs, [profile])
+    return C.resolve(C.pattern_claims(lines, P.EMAIL, "email", order=1).unionByName(C.pattern_claims(lines, P.PHONE, "phone", order=2)))
+
+
+def _profiles(spark, sf_dir, claims):
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return output.resumes(docs, [output.header_profile(claims)])

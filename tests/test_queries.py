@@ -34,3 +34,13 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "json"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_address_twice_in_a_line(spark, tmp_path):
+    """It counts once for its line, as in the SQL; each of its places is its own."""
+    text = "a@b.co and a@b.co\nc@d.org a@b.co"
+    spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.document_contacts(spark, str(tmp_path)).collect())
+    assert got == [(1, 3, "a@b.co,c@d.org"), (2, 0, "")]
+    spans = sorted((r["line_index"], r["start"], r["stop"]) for r in queries.document_emails(spark, str(tmp_path)).collect())
+    assert spans == [(0, 0, 6), (0, 11, 17), (1, 0, 7), (1, 8, 14)]
