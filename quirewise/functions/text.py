@@ -21,6 +21,11 @@ ATTRIBUTE_LABELS = {
 _EDGE = " \t,;:-–—" + P.INVISIBLE
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often and in whatever branches f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def without_invisibles(text: Column) -> Column:
     return F.translate(text, P.INVISIBLE, "")
 

@@ -37,11 +37,15 @@ def section_references(spark) -> DataFrame:
 
 def exact_section(text: Column) -> Column:
     """The section that a text names word for word (case and spacing aside), null if none."""
-    folded = F.lower(P.strip(F.regexp_replace(text, r"(?U)\s+", " ")))
-    out = F.lit(None).cast("string")
-    for name, phrases in reversed(SECTIONS.items()):
-        out = F.when(folded.isin(*[p.lower() for p in phrases]), name).otherwise(out)
-    return out
+
+    def named(folded):
+        out = F.lit(None).cast("string")
+        for name, phrases in reversed(SECTIONS.items()):
+            out = F.when(folded.isin(*[p.lower() for p in phrases]), name).otherwise(out)
+        return out
+
+    # as a branch's own expression the text would be folded again for each section
+    return T.let(F.lower(P.strip(F.regexp_replace(text, r"(?U)\s+", " "))), named)
 
 
 def page_medians(lines: DataFrame) -> DataFrame:
@@ -159,19 +163,25 @@ def heading_components(text: Column) -> Column:
     """array<struct<text, section_type>>: the destinations that a heading names; a known name is never divided."""
     part = lambda x: F.struct(x.alias("text"), exact_section(x).alias("section_type"))
     pieces = F.filter(F.transform(F.split(text, P.COMPOUND), P.strip), lambda x: (F.length(x) >= 2) & x.rlike(r"\p{L}"))
-    whole = F.array(part(text))
-    return F.when(exact_section(text).isNotNull() | (F.size(pieces) == 0), whole).otherwise(F.transform(pieces, part))
+    whole = T.let(part(text), lambda w: F.when(w["section_type"].isNotNull(), F.array(w)))
+    none = F.array(F.struct(text.alias("text"), F.lit(None).cast("string").alias("section_type")))
+    return F.when(text.isNotNull(), F.coalesce(whole, T.let(pieces, lambda p: F.when(F.size(p) > 0, F.transform(p, part))), none))
 
 
 def block_owner(text: Column, components: Column) -> Column:
     """The component that a line's own label names, else languages for 'language: level', if among them."""
-    bare = T.without_marker(text)
-    label = F.lower(P.strip(F.regexp_replace(F.regexp_extract(bare, P.KEY_COLON, 1), r"(?U)\s+", " ")))
     known = F.filter(components, lambda c: c["section_type"].isNotNull())
-    section = exact_section(label)
-    stated = F.filter(known, lambda c: (label == F.lower(c["text"])) | (section == c["section_type"]))
-    spoken = F.exists(known, lambda c: c["section_type"] == "languages") & label.rlike(P.LANGUAGE)
-    return F.when(bare.rlike(P.KEY_COLON), F.coalesce(F.get(stated, F.lit(0))["section_type"], F.when(spoken, "languages")))
+
+    def owner(x):
+        label, section = x["label"], x["section"]
+        stated = F.filter(known, lambda c: (label == F.lower(c["text"])) | (section == c["section_type"]))
+        spoken = F.exists(known, lambda c: c["section_type"] == "languages") & label.rlike(P.LANGUAGE)
+        return F.coalesce(F.get(stated, F.lit(0))["section_type"], F.when(spoken, "languages"))
+
+    folded = lambda bare: F.lower(P.strip(F.regexp_replace(F.regexp_extract(bare, P.KEY_COLON, 1), r"(?U)\s+", " ")))
+    both = lambda label: F.struct(label.alias("label"), exact_section(label).alias("section"))
+    # a line without a colon has no label to look at
+    return F.when(text.contains(":"), T.let(T.without_marker(text), lambda bare: F.when(bare.rlike(P.KEY_COLON), T.let(T.let(folded(bare), both), owner))))
 
 
 def logical_sections(lines: DataFrame) -> DataFrame:

@@ -205,6 +205,18 @@ def test_small_indented_label_is_passed_over(spark):
     assert [r["section_type"] for r in R.routed_headings(lines(spark, rows), heads).collect()] == ["skills"]
 
 
+def test_section_names_fold_the_text_once(spark):
+    """Each section's branch worked the text out again, and plans grew past what Spark compiles."""
+    df = lines(spark, flow(["Work  EXPERIENCE", "Skills and Education", "nothing known"]))
+    h = R.heading_components(F.col("text"))
+    plan = df.select(R.exact_section(F.col("text")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    got = [[(c["text"], c["section_type"]) for c in r[0]] for r in df.orderBy("line_index").select(h).collect()]
+    assert got == [[("Work  EXPERIENCE", "experience")], [("Skills", "skills"), ("Education", "education")], [("nothing known", None)]]
+    t = spark.createDataFrame([(None,), ("",), ("&",)], "text string")
+    assert [r[0] and [tuple(c) for c in r[0]] for r in t.select(h).collect()] == [None, [("", None)], [("&", None)]]
+
+
 def test_logical_sections(spark):
     rows = [("d", 0, 5, "CERTIFICATIONS & LANGUAGES", "certifications", t, s) for t, s in []]
     full = [("d", 0, i, "CERTIFICATIONS & LANGUAGES", "others", t, s) for i, (t, s) in enumerate([("Thai: Native", False), ("Driving licence", False), ("Certifications", True), ("AWS", False), ("Hobby", True), ("chess", False)])]
