@@ -68,7 +68,10 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
 
 def reliable(text: Column, similarity: Column, runner_up: Column) -> Column:
     """A section name word for word, or capitals that a model is sure of."""
-    h = T.heading_text(text)
+    return T.let(T.heading_text(text), lambda h: _reliable(h, similarity, runner_up))
+
+
+def _reliable(h: Column, similarity: Column, runner_up: Column) -> Column:
     named = exact_section(h).isNotNull()
     sure = (T.upper_ratio(h) >= P.UPPER_RATIO) & (similarity >= P.BOUNDARY_SIMILARITY) & (similarity - runner_up >= P.BOUNDARY_MARGIN)
     return named | F.coalesce(sure, F.lit(False))
@@ -101,14 +104,19 @@ def routed_headings(lines: DataFrame, headings: DataFrame) -> DataFrame:
     seen = headings.withColumn("is_heading", F.lit(True))
     right = right_neighbours(lines, lines.where(T.word_count(F.col("text")) <= P.HEADING_WORDS)).withColumn("beside", F.lit(True))
     full = lines.join(seen, ["doc_id", "line_index"], "left").join(right, ["doc_id", "line_index"], "left")
-    h = T.heading_text(F.col("text"))
-    strong = F.coalesce(F.col("is_heading") & reliable(F.col("text"), F.col("similarity"), F.col("runner_up")), F.lit(False))
-    peer = (h != "") & ~h.rlike(P.BULLET) & (F.length(h) <= P.HEADING_CHARS) & (T.word_count(h) <= P.HEADING_WORDS) & ((T.upper_ratio(h) >= P.UPPER_RATIO) | F.col("bold"))
+
+    def marks(h):
+        strong = F.coalesce(F.col("is_heading") & _reliable(h, F.col("similarity"), F.col("runner_up")), F.lit(False))
+        peer = (h != "") & ~h.rlike(P.BULLET) & (F.length(h) <= P.HEADING_CHARS) & (F.col("bold") | (T.upper_ratio(h) >= P.UPPER_RATIO)) & (T.word_count(h) <= P.HEADING_WORDS)
+        return F.struct(strong.alias("strong"), peer.alias("peer"))
+
     item = F.struct(
-        F.col("line_index").cast("int").alias("line_index"), strong.alias("strong"), peer.alias("peer"), F.coalesce("section_type", F.lit("others")).alias("section_type"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"),
+        F.col("line_index").cast("int").alias("line_index"), "strong", "peer", F.coalesce("section_type", F.lit("others")).alias("section_type"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"),
         F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), F.col("size").cast("double").alias("size"), F.col("page").cast("int").alias("page"), F.coalesce("beside", F.lit(False)).alias("beside"),
     )
-    maybe = full.where(strong | peer)
+    # a filter's expression would be worked out again for the columns
+    marked = F.filter(F.array(T.let(T.heading_text(F.col("text")), marks)), lambda m: m["strong"] | m["peer"])
+    maybe = full.select("*", F.inline(marked))
     packed = maybe.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
 
     def step(out, li):
