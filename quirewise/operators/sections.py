@@ -181,8 +181,11 @@ def reconcile_segments(evidence: DataFrame) -> DataFrame:
     others = F.sum(F.col("title").cast("int")).over(w) - F.col("title").cast("int")
     company = F.col("marker") | (many & F.col("link")) | (many & F.col("org") & (others > 0))
     e = evidence.withColumn("company", company)
-    rank = F.row_number().over(w.orderBy(F.when(F.col("title") & ~F.col("company"), 0).otherwise(1), F.desc("confidence"), "seg"))
-    e = e.withColumn("primary", (rank == 1) & F.col("title") & ~F.col("company")).withColumn("has_primary", F.max(F.col("primary")).over(w))
+    # the surest title as a greatest value: a rank would sort each line's segments once more
+    able = F.coalesce(F.col("title") & ~F.col("company"), F.lit(False))
+    surest = F.struct("confidence", (-F.col("seg")).alias("seg"))
+    e = e.withColumn("_best", F.max(F.when(able, surest)).over(w))
+    e = e.withColumn("primary", able & surest.eqNullSafe(F.col("_best"))).withColumn("has_primary", F.col("_best").isNotNull())
     comma = F.col("text").contains(",")
     role = (
         F.when(F.col("primary"), "job_title")
@@ -192,7 +195,7 @@ def reconcile_segments(evidence: DataFrame) -> DataFrame:
         .when(F.col("title"), "job_title")
         .otherwise("unresolved")
     )
-    return e.withColumn("role", role).drop("company", "primary", "has_primary")
+    return e.withColumn("role", role).drop("company", "primary", "has_primary", "_best")
 
 
 def segment_urls(segments: DataFrame, urls: DataFrame) -> DataFrame:

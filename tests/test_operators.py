@@ -217,6 +217,18 @@ def test_section_names_fold_the_text_once(spark):
     assert [r[0] and [tuple(c) for c in r[0]] for r in t.select(h).collect()] == [None, [("", None)], [("&", None)]]
 
 
+def test_surest_title_without_a_rank(spark):
+    """Of titles as sure as each other the first; one without confidence comes last; one sort a line."""
+    kinds = "doc_id string, line_index int, seg int, text string, title boolean, confidence double, org boolean, loc boolean, marker boolean, link boolean"
+    rows = [("d", 0, i, "A", t, c, False, False, m, False) for i, (t, c, m) in enumerate([(True, None, False), (True, 0.5, False), (True, 0.5, False), (True, 0.9, True), (False, 0.9, False)])]
+    rows.append(("d", 1, 0, "A", True, None, True, False, False, False))
+    out = X.reconcile_segments(spark.createDataFrame(rows, kinds))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and plan.count("Sort [") == 1
+    got = {(r["line_index"], r["seg"]): r["role"] for r in out.collect()}
+    assert got == {(0, 0): "job_title", (0, 1): "job_title", (0, 2): "job_title", (0, 3): "company", (0, 4): "unresolved", (1, 0): "job_title"}
+
+
 def test_logical_sections(spark):
     rows = [("d", 0, 5, "CERTIFICATIONS & LANGUAGES", "certifications", t, s) for t, s in []]
     full = [("d", 0, i, "CERTIFICATIONS & LANGUAGES", "others", t, s) for i, (t, s) in enumerate([("Thai: Native", False), ("Driving licence", False), ("Certifications", True), ("AWS", False), ("Hobby", True), ("chess", False)])]
